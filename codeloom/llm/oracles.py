@@ -2,4 +2,84 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from codeloom.llm.near_dup import THRESHOLD as JACCARD
+from codeloom.llm.embedding_dedup import THRESHOLD as COSINE
+from codeloom.llm.url_filter import BLOCKED, RULES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: ``pairs`` (both directions) of ``nodes``: link counts and the least node that each can reach.
+_CLASSES = """
+reach AS (
+  SELECT node, node AS other FROM nodes
+  UNION
+  SELECT r.node, p.b FROM reach r JOIN pairs p ON p.a = r.other
+),
+least AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+degree AS (SELECT a AS node, count(*) AS n_links FROM pairs GROUP BY a)
+"""
+
+OP4 = f"""
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+),
+nodes AS (SELECT vec_id AS node FROM embeddings),
+pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vecs x JOIN vecs y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= {COSINE}
+),
+{_CLASSES}
+SELECT n.node AS vec_id, coalesce(d.n_links, 0) AS n_links, l.class_id AS component_id, n.node = l.class_id AS kept
+FROM nodes n JOIN least l ON l.node = n.node LEFT JOIN degree d ON d.node = n.node
+"""
+
+OP9 = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+nodes AS (SELECT doc_id AS node FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+),
+pairs AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
+  WHERE CAST(c.n AS DOUBLE) / (x.n + y.n - c.n) >= {JACCARD}
+),
+{_CLASSES}
+SELECT n.node AS doc_id, coalesce(d.n_links, 0) AS n_links, l.class_id, n.node = l.class_id AS kept
+FROM nodes n JOIN least l ON l.node = n.node LEFT JOIN degree d ON d.node = n.node
+"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+
+
+OP10 = f"""
+WITH urls AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+),
+entries AS (
+  SELECT entry, verdict, substr(entry, 1, instr(entry, '/') - 1) AS h, substr(entry, instr(entry, '/')) AS p
+  FROM (VALUES {_values([*RULES, *((x, "listed") for x in BLOCKED)])}) AS t(entry, verdict)
+),
+fits AS (
+  SELECT u.page_id, e.entry, e.verdict,
+    row_number() OVER (PARTITION BY u.page_id, e.verdict = 'listed' ORDER BY length(e.entry) DESC, length(e.h) DESC, e.entry DESC) AS k
+  FROM urls u JOIN entries e ON (u.host = e.h OR ends_with(u.host, '.' || e.h)) AND starts_with(u.path, e.p)
+)
+SELECT u.page_id, u.host, u.path, r.entry AS rule,
+  CASE WHEN r.verdict = 'block' OR (r.verdict IS NULL AND l.entry IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict,
+  l.entry AS listed
+FROM urls u
+LEFT JOIN fits r ON r.page_id = u.page_id AND r.k = 1 AND r.verdict <> 'listed'
+LEFT JOIN fits l ON l.page_id = u.page_id AND l.k = 1 AND l.verdict = 'listed'
+"""
+
+ORACLES: dict[str, str] = {"op4_embedding_dedup": OP4, "op9_jaccard_join": OP9, "op10_url_filter": OP10}
