@@ -22,6 +22,7 @@ are ignored.  Blocks hold whole documents, so a very long one makes a large bloc
 from __future__ import annotations
 
 import functools
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from codeloom.llm.common import Scratch, text_chunks
 #: Values of one block at most, unless one document has more.
 BLOCK_TOKENS = 1 << 20
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 1_200_000
 #: Punctuation that the pre-tokenizer parts from a letter or digit before it.
 PUNCTUATION = ".,;:!?|*%$#&"
 
@@ -80,10 +81,15 @@ class Encoder:
         if len(self.memory) + len(words) > self.words_kept:
             self.memory.clear()
         memory, tails = self.memory, self.tails
-        stems = [(w, w.rstrip(PUNCTUATION)) for w in words]
+        if len(" ".join(words).split()) != len(words):
+            # a word that other white space begins or ends depends on its neighbours, and stays unknown
+            words = {w for w in words if not w[-1].isspace() and not w[1:2].isspace() and (w[0] == "\n" or not w[0].isspace())}
+        plain = {w for w in words if w[-1].isalnum()}
+        stems = [(w, w.rstrip(PUNCTUATION)) for w in words.difference(plain)]
         stems = [(w, s if s and s[-1].isalnum() else w) for w, s in stems]
-        new = [s for s in {s for _, s in stems} if s not in memory]
-        for head, some in (("\n", [s for s in new if s[0] == "\n"]), (" ", [s for s in new if s[0] != "\n"])):
+        plain.update(s for _, s in stems)
+        new = plain.difference(memory)
+        for head, some in (("\n", begun := [s for s in new if s[0] == "\n"]), (" ", list(new.difference(begun)))):
             if not some:
                 continue
             text = "".join(some) if head == "\n" else " " + " ".join(some)
@@ -102,37 +108,50 @@ class Encoder:
                 memory[w] = memory[s] + tails[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, split, unknown = self.memory.get, [], set()
+        collecting = gc.isenabled()
+        gc.disable()  # long lists of words are no garbage, but each is searched for it
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        known = self.memory.get
+        split: list[tuple[list[str], list, list[int]] | None] = []
+        unknown: set[str] = set()
         for text in texts:
-            if not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-                split.append(None)
+            words = f"\n{text}".replace("\n", " \n").split(" ") if text else []
+            if not text or words[1] == "\n" or "" in words[2:] or "\n" in words:
+                split.append(None)  # neighbouring, leading or trailing spaces
                 continue
-            words = f"\n{text}".replace("\n", " \n").split(" ")
-            words[0] = words[1]  # the text's own start, after no newline
-            del words[1]
-            if "" in words or "\n" in words:  # neighbouring spaces that other white space makes up for
-                split.append(None)
-                continue
-            if None in (parts := list(map(known, words))):
-                unknown.update(w for w, p in zip(words, parts) if p is None)
-                split.append((words, None))
-            else:
-                split.append((words, parts))
+            del words[0]
+            parts = list(map(known, words))
+            if gaps := places_of_none(parts):
+                unknown.update([words[i] for i in gaps])
+            split.append((words, parts, gaps))
         if unknown:
             self._learn(unknown)
         out, skip, end = [], len(self.newline), self.end
         for text, got in zip(texts, split):
-            if got is None:
-                out.append((self._whole(text) if text else b"") + end)
-                continue
-            words, parts = got
-            if parts is None:
-                parts = list(map(known, words))
-                if None in parts:  # the memory was emptied meanwhile
-                    self._learn(set(words))
-                    parts = list(map(known, words))
-            parts.append(end)
-            out.append(b"".join(parts)[skip:])
+            if got is not None:
+                words, parts, gaps = got
+                for i in gaps:
+                    parts[i] = known(words[i])
+                if not gaps or None not in parts:
+                    parts.append(end)
+                    out.append(b"".join(parts)[skip:])
+                    continue
+            out.append((self._whole(text) if text else b"") + end)
+        return out
+
+
+def places_of_none(parts: list) -> list[int]:
+    out, i = [], -1
+    try:
+        while True:
+            out.append(i := parts.index(None, i + 1))
+    except ValueError:
         return out
 
 
@@ -170,9 +189,7 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), width))
-                total[: len(got)] += got
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int32()), "n": pa.array(total[at])})
 
