@@ -71,20 +71,17 @@ def with_limit(query: str, rows: int) -> str:
 
 
 def is_read_only(spark: SparkSession, query: str) -> bool:
-    """Whether the statement parses to a query and to no command."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    names = {plan.getClass().getSimpleName()} | {c.getClass().getSimpleName() for c in _children(plan)}
-    return not any(re.search(r"Command|Insert|Create|Drop|Delete|Update|Merge|Truncate|Alter|Set[A-Z]|Cache|Load|Refresh|Replace|Add[A-Z]|Call$", n) for n in names)
-
-
-def _children(plan) -> list:
-    out, todo = [], [plan]
+    """Whether the statement parses to a query: no node of it is a command or another statement."""
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    kinds = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
     while todo:
-        kids = todo.pop().children()
-        for k in range(kids.size()):
-            out.append(kids.apply(k))
-            todo.append(kids.apply(k))
-    return out
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            return False
+        kids = node.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+    return True
 
 
 @dataclass(frozen=True)

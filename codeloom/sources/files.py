@@ -34,9 +34,13 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     """``path`` (below the root), ``language``, ``content`` and ``content_hash`` of each source file."""
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,ts,tsx,js,jsx,mjs,cjs}").load(base)
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    tail = F.expr(f"substring(p, locate('{base.removeprefix('file://')}/', p) + {len(base.removeprefix('file://')) + 1})")
-    rows = found.select(path.alias("p"), "content").select(tail.alias("path"), "content")
+    every = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string")
+    rows = found.select("path", "content")
+    # scans skip files without content, the listing has them
+    nothing = every.join(rows.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    start = base.removeprefix("file://") + "/"
+    rows = rows.unionByName(nothing).where(F.locate(start, F.col("path")) > 0)
+    rows = rows.select(F.expr(f"substring(path, locate('{start}', path) + {len(start)})").alias("path"), "content")
     rows = rows.where(~in_folder(F.col("path"), SKIPPED)).withColumn("language", language_of(F.col("path"))).where("language is not null")
     return rows.select("path", "language", "content", F.sha2("content", 256).alias("content_hash"))
 
@@ -58,16 +62,20 @@ def gitignore_lines(text: str) -> list[str]:
     return [x for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")]
 
 
+def _in_any_segment(parts: Column, pattern: str) -> Column:
+    return F.exists(parts, lambda segment: matches_glob(segment, pattern))
+
+
 def accepted(path: Column, ignores: tuple[str, ...] = (), gitignore: tuple[str, ...] = ()) -> Column:
     """Whether a path (below the root) is to be watched."""
     parts = F.split(path, "/")
     hit = language_of(path).isNotNull() | path.endswith(".d.ts")
     hit &= ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in UNWATCHED]))
     for pattern in ignores:
-        hit &= ~matches_glob(path, pattern) & ~F.exists(parts, lambda s, p=pattern.rstrip("/"): matches_glob(s, p))
+        hit &= ~matches_glob(path, pattern) & ~_in_any_segment(parts, pattern.rstrip("/"))
     for pattern in gitignore:
         if pattern.endswith("/"):
             hit &= ~F.array_contains(parts, pattern.rstrip("/"))
         else:
-            hit &= ~matches_glob(path, pattern) & ~F.exists(parts, lambda s, p=pattern: matches_glob(s, p))
+            hit &= ~matches_glob(path, pattern) & ~_in_any_segment(parts, pattern)
     return hit

@@ -180,7 +180,7 @@ class _Scan:
                     return self.close[body] + 1
             if tok.text == "class" and (name := self.name_at(k + 1)) and not self.is_(k - 1, "=", "(", ",", ":"):
                 return self.class_(k, name, stop)
-            if tok.text in ("const", "let", "var") and self.name_at(k + 1):
+            if tok.text in ("const", "let", "var") and self.name_at(k + 1) and not self.is_(k - 1, "("):
                 return self.variables(k, stop, scope)
         if scope is not None and tok.kind == "name":
             self.call(k, scope, member)
@@ -211,7 +211,7 @@ class _Scan:
         """A declaration: functions among its values get its names, other values are searched."""
         end = k
         at = k + 1
-        while at < stop and not self.is_(at, ";"):
+        while at < stop and not self.is_(at, ";", ")", "]", "}"):
             if self.is_(at, "(", "[", "{"):
                 at = self.close[at]
             end = at
