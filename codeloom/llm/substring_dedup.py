@@ -4,15 +4,15 @@ A text is cut into sentences (after ``.``, ``!``, ``?`` before white space, and
 sentence of more than ``LONG`` words is cut again after each word whose hash ends in two zero bits, so
 that the same passage is cut alike wherever it stands.  From every sentence on, the shortest run of at
 least ``SENTENCES`` sentences and ``WORDS`` words is hashed to 96 bits.  The hashes are joined over the
-corpus; of equal runs the first, by (doc_id, hash of the text, place), stays, and sentences that lie in
-any other one are removed.
+corpus; of equal runs the first, by doc_id and then by place, stays, and sentences that lie in any other
+one are removed.
 
-The counts of a hash are summed before the shuffle, and hot hashes meet their documents in a join that
-is broadcast behind a check of its size or else split by AQE; no group is gathered in one task.
+The counts of a hash are summed before the shuffle, and hot hashes meet their documents in a join whose
+hot partitions AQE splits; no group is gathered in one task.
 
 Edge cases: null text stays null (no sentences); runs shorter than the least never count, so short
-texts stay; rows equal in doc_id and text are one document and keep the same sentences; doc_ids that
-are null sort first; an empty table gives no rows; other columns pass through.
+texts stay; rows that share a doc_id take nothing from each other, and equal ones keep the same
+sentences; doc_ids that are null come first; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, join_keys, text_chunks
+from codeloom.llm.common import Scratch, text_chunks
 
 SENTENCES = 3
 WORDS = 25
@@ -98,9 +98,12 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch, sentences: int
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text"):
-            digests, first, count, rows = [], [], [], []
+            digests, first, count, rows, again = [], [], [], [], []
             for row, text in enumerate(part.column(2).to_pylist()):
+                seen: set[bytes] = set()
                 for digest, i, n in spans_of(text, sentences, words) if text else ():
+                    again.append(digest in seen)
+                    seen.add(digest)
                     digests.append(digest)
                     first.append(i)
                     count.append(n)
@@ -114,22 +117,18 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch, sentences: int
                 "key": part.column(1).take(take),
                 "first": pa.array(first, pa.int32()),
                 "count": pa.array(count, pa.int32()),
+                "again": pa.array(again, pa.bool_()),
             })
 
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    spans = scratch.keep(rows.mapInArrow(find, "h long, g int, doc_id long, key long, first int, count int"))
-
-    at = F.struct("doc_id", "key", "first")
-    repeated = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.count("doc_id").alias("with_id"))
-    # the least (doc_id, key, first): fixed-width buffers only, so the sum before the shuffle stays in hash tables
-    repeated = scratch.keep(repeated.where("n > 1").select("h", "g", F.when(F.col("with_id") == F.col("n"), F.col("d0")).alias("d0")))
-    hits = join_keys(spans, repeated, ["h", "g"], "inner")
-    hits = scratch.keep(hits.select("h", "g", "d0", "doc_id", "key", "first", "count"))
-    lead = hits.where(F.col("doc_id").eqNullSafe(F.col("d0"))).groupBy("h", "g").agg(F.min(F.struct("key", "first")).alias("lead"))
-    lead = scratch.keep(lead)
-    others = join_keys(hits, lead, ["h", "g"], "inner")
-    others = others.where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.struct("key", "first") == F.col("lead"))))
+    spans = scratch.keep(rows.mapInArrow(find, "h long, g int, doc_id long, key long, first int, count int, again boolean"))
+
+    # the least doc_id keeps its first occurrence; a null id is less than any
+    repeated = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.count("doc_id").alias("with_id"))
+    repeated = scratch.keep(repeated.where("n > 1").select("h", "g", F.when(F.col("with_id") == F.col("n"), F.col("least")).alias("lead")))
+    hits = spans.join(repeated, ["h", "g"])
+    others = hits.where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("lead")))
     marks = others.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("m"))
     marks = marks.select("key", F.col("m.first").alias("first"), F.col("m.count").alias("count"))
 
