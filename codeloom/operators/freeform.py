@@ -116,16 +116,20 @@ def query_frame(graph: Graph, project: str, query: str, params: dict[str, Any] |
 def run_sql(graph: Graph, project: str, query: str, params: dict[str, Any] | None = None, row_limit: int = 1000, timeout_seconds: int = 30) -> Result:
     """At most ``row_limit`` rows, and whether there are more."""
     frame = query_frame(graph, project, query, params).limit(row_limit + 1)
-    spark, tag = graph.spark, f"run-sql-{uuid.uuid4().hex}"
-    late = threading.Event()
+    jobs, tag = graph.spark.sparkContext, f"run-sql-{uuid.uuid4().hex}"
+    late, done = threading.Event(), threading.Event()
 
-    def stop() -> None:
+    def watch() -> None:
+        if done.wait(max(1, timeout_seconds)):
+            return
         late.set()
-        spark.interruptTag(tag)
+        while not done.is_set():  # a job that has not begun yet is not stopped by the first call
+            jobs.cancelJobsWithTag(tag)
+            done.wait(0.5)
 
-    timer = threading.Timer(max(1, timeout_seconds), stop)
-    spark.addTag(tag)
-    timer.start()
+    watcher = threading.Thread(target=watch, daemon=True)
+    jobs.addJobTag(tag)
+    watcher.start()
     try:
         rows = [r.asDict(True) for r in frame.collect()]
     except Exception as error:
@@ -133,6 +137,6 @@ def run_sql(graph: Graph, project: str, query: str, params: dict[str, Any] | Non
             raise Timeout(f"query exceeded {timeout_seconds}s", query) from error
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        jobs.removeJobTag(tag)
     return Result(rows[:row_limit], len(rows) > row_limit, min(len(rows), row_limit), {"columns": frame.columns})

@@ -46,8 +46,8 @@ def outcome(kinds: Column) -> Column:
 
 def debounced(events: DataFrame, window: str = "300 milliseconds", by: tuple[str, ...] = ()) -> DataFrame:
     """Batches: session windows over the events (of each ``by``, or of all), with their events in order."""
-    # a stream's sessions need a key besides
-    keys = [F.session_window("ts", window).alias("session"), *([F.col(c) for c in by] or [F.lit("all").alias("feed")])]
+    # a stream's sessions need a key that is no constant: the empty start of the path stands for all
+    keys = [F.session_window("ts", window).alias("session"), *([F.col(c) for c in by] or [F.substring("path", 1, 0).alias("feed")])]
     return events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "path", "kind"))).alias("events"))
 
 
