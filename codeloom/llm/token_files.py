@@ -38,7 +38,7 @@ from codeloom.llm.common import Scratch, text_chunks
 #: Values of one block at most, unless one document has more.
 BLOCK_TOKENS = 1 << 20
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 1_500_000
 #: Punctuation that the pre-tokenizer parts from a letter or digit before it.
 PUNCTUATION = ".,;:!?|*%$#&"
 
@@ -202,13 +202,16 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     v = values.astype("<u4", copy=False)
-    length = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    most = 2 if not len(v) or v.max() <= 0xFFFF else 4
+    length = 1 + (v > 0xFF).astype(np.uint8)
+    if most == 4:
+        length += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
     code = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     code[: len(v)] = length - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8)[None, :] < length[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    keep = np.arange(most, dtype=np.uint8)[None, :] < length[:, None]
+    return control.tobytes(), v.astype(f"<u{most}").view(np.uint8).reshape(-1, most)[keep].tobytes()
 
 
 #: Bytes of each of the four values of a control byte.
