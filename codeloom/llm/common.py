@@ -7,9 +7,12 @@ less disk than ``checkpoint()``.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +73,12 @@ class Scratch:
             Scratch.made.remove(self)
 
 
-def drop_scratch_not_read_by(docs: DataFrame) -> None:
-    """Frees the scratch of earlier operator calls whose results have been written elsewhere."""
+def drop_scratch_not_read_by(docs: DataFrame, name: str) -> None:
+    """Frees earlier scratch of this kind of name, whose results have been written elsewhere since."""
     read = docs.inputFiles()
     for scratch in list(Scratch.made):
         tail = scratch.path.rpartition("/")[2]
-        if not any(f"/{tail}/" in x for x in read):
+        if tail.startswith(name) and not any(f"/{tail}/" in x for x in read):
             scratch.drop()
 
 
@@ -89,6 +92,45 @@ def join_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
     return df.join(F.broadcast(keys) if fits_broadcast(keys) else keys, on, how)
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition function after which the worker gives its free memory back.
+
+    Workers serve many tasks, and beside them the executor's heap needs the room.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
+#: Rows of one Arrow batch where rows carry whole texts.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For a session whose rows carry whole texts: batches of ``TEXT_ROWS`` rows, unless smaller ones are set.
+
+    Spark's 10,000 rows of text are held several times over, in the executor and in each of its workers.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+#: Bytes of text of which a vectorised pass makes arrays at once (some eighty bytes for each).
+PASS_BYTES = 1 << 18
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices record batches so that one holds about ``most`` bytes of text, or one row."""
     for batch in batches:

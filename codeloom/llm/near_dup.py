@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, flat_bytes, join_keys, mix64, text_chunks
+from codeloom.llm.common import PASS_BYTES, Scratch, flat_bytes, frugal, join_keys, mix64, text_chunks
 from codeloom.llm.components import components
 
 SHINGLE = 5
@@ -259,7 +259,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches, "text"):
+        for part in text_chunks(batches, "text", PASS_BYTES):
             hashes, bounds, sequence = shingles(part.column(1))
             sig = signatures(hashes, bounds)
             empty = (np.diff(bounds) == 0) | np.asarray(part.column(0).is_null())
@@ -270,7 +270,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
                 "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
             })
 
-    signed = scratch.keep(docs.mapInArrow(sign, "doc_id long, h long, g long, sig binary"))
+    signed = scratch.keep(docs.mapInArrow(frugal(sign), "doc_id long, h long, g long, sig binary"))
     members = signed.select("doc_id", "h", "g")
     classes = scratch.keep(members.where("h is not null").groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     # one text of each class goes on; the key holds doc_id, so that copies do not meet in one task
@@ -286,7 +286,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
                 "key": pa.array(keys.reshape(-1).view(np.int64)),
             })
 
-    bands = heads.select("doc_id", "sig").mapInArrow(cut, "doc_id long, band int, key long")
+    bands = heads.select("doc_id", "sig").mapInArrow(frugal(cut), "doc_id long, band int, key long")
     shared = scratch.keep(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = join_keys(bands, shared, ["key"], "inner").select("*", blocks.alias("blocks"))
@@ -309,7 +309,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
 
     schema = "doc_id long, band int, task long, side int, copies long, sig binary"
     rows = rows.select("doc_id", "band", "task", "side", "copies", "sig")
-    alive = scratch.keep(rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(survive, schema))
+    alive = scratch.keep(rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(frugal(survive), schema))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 2):
@@ -331,7 +331,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
         a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs])
         sets: list[np.ndarray] = []
         text = t.column("text").combine_chunks()
-        for part in text_chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text"):
+        for part in text_chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", PASS_BYTES):
             hashes, bounds, _ = shingles(part.column(0))
             sets += [np.unique(hashes[x:y]) for x, y in zip(bounds, bounds[1:])]
         sizes = np.array([len(x) for x in sets])
@@ -348,7 +348,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
     wanted = alive.select("doc_id").distinct()
     texts = join_keys(docs, wanted, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     with_text = alive.join(texts, "doc_id").select("doc_id", "band", "task", "side", "copies", "sig", "text")
-    found = scratch.keep(with_text.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(verify, PAIR_ROWS))
+    found = scratch.keep(with_text.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(frugal(verify), PAIR_ROWS))
     out = finish(spark, members, classes, found, scratch)
     return out.select("doc_id", "n_links", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 

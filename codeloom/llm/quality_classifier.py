@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import flat_bytes, text_chunks
+from codeloom.llm.common import PASS_BYTES, flat_bytes, frugal, text_chunks
 from codeloom.llm.near_dup import word_hashes
 
 #: Bounds of the sample that the classifiers are fitted on.
@@ -197,7 +197,7 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for part in text_chunks(batches, "text"):
+    for part in text_chunks(batches, "text", PASS_BYTES):
         for at in range(0, part.num_rows, ROWS):
             some = part.slice(at, ROWS)
             text = some.column(some.schema.get_field_index("text"))
@@ -233,7 +233,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
                 "meta": pa.array([x.tobytes() for x in meta.astype(np.float32)], pa.binary()),
             })
 
-    got = rows.join(sample, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary, meta binary").toArrow()
+    got = rows.join(sample, "doc_id", "left_semi").mapInArrow(frugal(run), "doc_id long, grams binary, meta binary").toArrow()
     at = np.array(got.column("doc_id").to_pylist(), np.int64)
     grams = np.frombuffer(b"".join(got.column("grams").to_pylist()), np.float16).reshape(len(at), -1).astype(np.float32)
     meta = np.frombuffer(b"".join(got.column("meta").to_pylist()), np.float32).reshape(len(at), -1)
@@ -253,7 +253,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
             a, b, both = sent.value.score(grams, meta)
             yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "text_score": pa.array(a), "meta_score": pa.array(b), "score": pa.array(both), "kept": pa.array(both >= threshold)})
 
-    return _inputs(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return _inputs(docs).mapInArrow(frugal(run), "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
 
 def keep(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -264,4 +264,4 @@ def keep(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
         for some, grams, meta in _parts(batches):
             yield some.filter(pa.array(sent.value.score(grams, meta)[2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

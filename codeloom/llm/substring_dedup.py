@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, text_chunks
+from codeloom.llm.common import Scratch, frugal, text_chunks
 
 SENTENCES = 3
 WORDS = 25
@@ -122,7 +122,7 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch, sentences: int
 
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    spans = scratch.keep(rows.mapInArrow(find, "h long, g int, doc_id long, key long, first int, count int, again boolean"))
+    spans = scratch.keep(rows.mapInArrow(frugal(find), "h long, g int, doc_id long, key long, first int, count int, again boolean"))
 
     # the least doc_id keeps its first occurrence; a null id is less than any
     repeated = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.count("doc_id").alias("with_id"))

@@ -33,12 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, text_chunks
+from codeloom.llm.common import Scratch, frugal, text_chunks
 
 #: Values of one block at most, unless one document has more.
 BLOCK_TOKENS = 1 << 20
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
 WORDS_KEPT = 1_500_000
+WORDS_A_TASK = 150_000
 #: Punctuation that the pre-tokenizer parts from a letter or digit before it.
 PUNCTUATION = ".,;:!?|*%$#&"
 
@@ -156,24 +157,28 @@ def places_of_none(parts: list) -> list[int]:
 
 
 @functools.cache
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, words_kept: int = WORDS_KEPT) -> Encoder:
     """One for a Python worker, over all its tasks."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, words_kept)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
-    """``doc_id``, ``n_tokens`` (with the end id) and, if asked for, ``ids`` as little-endian numbers."""
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True, words_kept: int = WORDS_KEPT) -> DataFrame:
+    """``doc_id``, ``n_tokens`` (with the end id) and, if asked for, ``ids`` as little-endian numbers.
+
+    A worker holds about 200 bytes for each of ``words_kept`` words from then on; with 0 a task keeps
+    ``WORDS_A_TASK`` words and nothing stays.
+    """
     schema = "doc_id long, n_tokens long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer, end_id)
-        for part in text_chunks(batches, "text"):
+        own = encoder(tokenizer, end_id, words_kept) if words_kept else Encoder(tokenizer, end_id, WORDS_A_TASK)
+        for part in text_chunks(batches, "text", 1 << (20 if words_kept else 18)):
             coded = own.encode(part.column(1).to_pylist())
             n = pa.array([len(x) // own.dtype.itemsize for x in coded], pa.int64())
             cols = {"doc_id": part.column(0), "n_tokens": n} | ({"ids": pa.array(coded, pa.binary())} if keep_ids else {})
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run if words_kept else frugal(run), schema)
 
 
 def vocab_size(tokenizer: str) -> int:
