@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
 
-All but the last return the columns of ``documents``:
+The stages set small Arrow batches for the session, as rows carry whole texts.  All but the last return the columns of ``documents``:
 
 1. quality_classifier: documents that the co-trained classifier rejects go;
 2. jaccard_join: one document of each group of near copies stays;
@@ -17,19 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import mixing, near_dup, packing, quality_classifier, substring_dedup, token_files
-from codeloom.llm.common import SPACES, Scratch, drop_scratch_not_read_by, join_keys, table
+from codeloom.llm.common import SPACES, Scratch, drop_scratch_not_read_by, join_keys, small_batches, table
 
 #: The stages are no SQL: a trained classifier, hashing and packing decide.  Tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = quality_classifier.train(spark, docs, table(spark, sf_dir, "labels"))
     return quality_classifier.keep(spark, docs, model)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch_not_read_by(docs)
+    small_batches(spark)
+    drop_scratch_not_read_by(docs, "pipeline")
     scratch = Scratch(spark, "pipeline2")
     judged = near_dup.similarity_join(spark, docs, scratch)
     copies = scratch.keep(judged.where("not kept").select("doc_id").distinct())
@@ -37,7 +39,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch_not_read_by(docs)
+    small_batches(spark)
+    drop_scratch_not_read_by(docs, "pipeline")
     found = substring_dedup.dedup(spark, docs, Scratch(spark, "pipeline3"))
     emptied = (F.col("dedup.n_removed") > 0) & (F.length(F.translate("dedup.text", SPACES, "")) == 0)
     kind = dict(docs.dtypes)["text"]
@@ -46,13 +49,15 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch_not_read_by(docs)
+    small_batches(spark)
+    drop_scratch_not_read_by(docs, "pipeline")
     return mixing.mix(spark, docs, Scratch(spark, "pipeline4")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch_not_read_by(docs)
-    sizes = token_files.tokenize(docs, token_files.default_tokenizer(), keep_ids=False)
+    small_batches(spark)
+    drop_scratch_not_read_by(docs, "pipeline")
+    sizes = token_files.tokenize(docs, token_files.default_tokenizer(), keep_ids=False, words_kept=0)
     return packing.pack_documents(Scratch(spark, "pipeline5").keep(sizes))
 
 
