@@ -46,33 +46,45 @@ def _pairs(hashes: Column) -> Column:
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
 
-def _covered(windows: Column) -> Column:
-    """Words in windows of three that occur at least twice: equal windows become neighbours by sorting."""
-    order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(windows) - 1
+def _in_order(windows: Column) -> Column:
+    """Hashes and places of the windows, sorted, so that equal windows are neighbours."""
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def _covered(order: Column) -> Column:
+    """Words in windows of three that occur at least twice."""
+    n = F.size(order) - 1
     twins = F.zip_with(F.slice(order, F.lit(1), n), F.slice(order, F.lit(2), n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     at = F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull())))
     return F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))
 
 
+def _occurrences(text: Column, characters: str) -> Column:
+    """How often characters of one byte occur: by bytes that replacing takes away, which is a plain scan."""
+    out = F.lit(0)
+    for c in characters:
+        out = out + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
+    return out
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """The base counts, with ``words`` and their hashes for the ratio."""
+    """The base counts, with hashes of the words (``h1``) and of their pairs (``h2``) for the ratio."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     out = out.select("doc_id", "text", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h1"))
     # each of these columns is used at least twice, so that none is computed again inside another
     out = out.select("*", _pairs(F.col("h1")).alias("h2"))
     out = out.select("*", _pairs(F.col("h2")).alias("h3"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = out.select("*", lines.alias("lines"))
-    repeated = F.when(F.size(F.array_distinct("h3")) < F.size("h3"), _covered(F.col("h3"))).otherwise(0)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    order = F.when(F.size(F.array_distinct("h3")) < F.size("h3"), _in_order(F.col("h3")))
+    out = out.select("doc_id", "text", "h1", "h2", lines.alias("lines"), order.alias("order"))
     return out.select(
         "doc_id",
         F.size("h1").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - _occurrences(F.col("text"), SPACES)).cast("long").alias("word_chars"),
+        _occurrences(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated.cast("long").alias("n_repeat_words"),
+        F.when(F.col("order").isNotNull(), _covered(F.col("order"))).otherwise(0).cast("long").alias("n_repeat_words"),
         "h1",
         "h2",
     )
