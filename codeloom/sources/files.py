@@ -34,8 +34,10 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     """``path`` (below the root), ``language``, ``content`` and ``content_hash`` of each source file."""
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,ts,tsx,js,jsx,mjs,cjs}").load(base)
-    every = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string")
-    rows = found.select("path", "content")
+    # listings and scans write local paths with one slash or three
+    path = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    every = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string").select(path)
+    rows = found.select(path, "content")
     # scans skip files without content, the listing has them
     nothing = every.join(rows.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
     start = base.removeprefix("file://") + "/"

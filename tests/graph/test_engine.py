@@ -261,5 +261,7 @@ def test_store(spark, tmp_path):
 
 def test_source_files(spark, tmp_path):
     root = sample.write(tmp_path, sample.PYTHON | {"node_modules/x.py": "", "deep/.git/y.py": "", "deep/z.py": "", "build": "", "t.d.ts": "", "u.tsx": "", "readme.md": ""})
-    got = {r["path"]: r["language"] for r in source_files(spark, root).collect()}
+    rows = source_files(spark, root).collect()
+    got = {r["path"]: r["language"] for r in rows}
+    assert len(rows) == len(got) and {r["path"]: bytes(r["content"]).decode() for r in rows}["runner.py"] == sample.RUNNER
     assert got == {"calculator.py": "python", "runner.py": "python", "test_calculator.py": "python", "deep/z.py": "python", "u.tsx": "typescript"}
