@@ -1,11 +1,16 @@
 """Operator 7: substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!``, ``?`` before white space, and after newlines).  A
-sentence of more than ``LONG`` words is cut again after each word whose hash ends in two zero bits, so
-that the same passage is cut alike wherever it stands.  From every sentence on, the shortest run of at
-least ``SENTENCES`` sentences and ``WORDS`` words is hashed to 96 bits.  The hashes are joined over the
-corpus; of equal runs the first, by doc_id and then by place, stays, and sentences that lie in any other
-one are removed.
+A text is cut into sentences after each word that ends in ``.``, ``!`` or ``?``.  Longer ones are cut
+again: of every ``LONG`` words in a row, the last of those with the least hash ends a piece (a word that
+ends a sentence counts as least), so no piece has more than ``LONG`` words.  From every sentence on, the
+shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed to 96 bits.  The hashes
+are joined over the corpus; of equal runs the first, by doc_id and then by place, stays, and sentences
+that lie in any other one are removed.
+
+Words alone decide where cuts are, not what surrounds a passage, nor its line breaks: the first ``LONG``
+words of a passage hold a cut, the next ones up to the end of the run are the same in every copy, and
+the run is at most ``WORDS`` + ``LONG`` - 1 words long.  So each 2 ``LONG`` + ``WORDS`` - 1 = 48 words
+that two texts share hold a whole run, whatever they are.  Two pieces are fewer than ``WORDS`` words.
 
 The counts of a hash are summed before the shuffle, and hot hashes meet their documents in a join whose
 hot partitions AQE splits; no group is gathered in one task.
@@ -32,45 +37,45 @@ from codeloom.llm.common import Scratch, frugal, text_chunks
 
 SENTENCES = 3
 WORDS = 25
-LONG = 24
+LONG = 12
 
-CUTS = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 WORD_ENDS = re.compile(r"\S+\s*")
 
 
+def last_words(words: list[str]) -> np.ndarray:
+    """Places of the words that end a sentence or a piece of one."""
+    n = len(words)
+    rank = np.fromiter((0 if w[-1] in ".!?" else zlib.crc32(w.encode()) + 1 for w in words), np.uint64, n)
+    ends = rank == 0
+    if n >= LONG:
+        low = np.uint64((1 << 31) - 1)
+        least = rank << np.uint64(31) | low - np.arange(n, dtype=np.uint64)  # of equal ranks the last is least
+        width = 1
+        while width < LONG:
+            step = min(width, LONG - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        ends[(low - (least & low)).astype(np.int64)] = True
+    ends[-1:] = True
+    return np.flatnonzero(ends)
+
+
 def sentences_of(text: str) -> list[str]:
     """Pieces that make up the text; each has a word, unless the whole text has none."""
-    out: list[str] = []
-    for piece in CUTS.split(text):
-        n = len(piece.split())
-        if not n:
-            if out:
-                out[-1] += piece
-            elif piece:
-                out.append(piece)
-        elif out and len(out) == 1 and not out[0].split():
-            out[0] += piece
-        elif n <= LONG:
-            out.append(piece)
-        else:
-            start = 0
-            for m in WORD_ENDS.finditer(piece):
-                if zlib.crc32(m[0].strip().encode()) & 3 == 0:
-                    out.append(piece[start : m.end()])
-                    start = m.end()
-            if start < len(piece):
-                if piece[start:].split() or not out:
-                    out.append(piece[start:])
-                else:
-                    out[-1] += piece[start:]
-    return out
+    words = text.split()
+    if not words:
+        return [text] if text else []
+    ends = [m.end() for m in WORD_ENDS.finditer(text)]
+    at = [0, *(ends[k] for k in last_words(words).tolist())]
+    return [text[x:y] for x, y in zip(at, at[1:])]
 
 
 def spans_of(text: str, sentences: int = SENTENCES, words: int = WORDS) -> list[tuple[bytes, int, int]]:
     """(digest, first sentence, sentences) of the shortest sufficient run from each sentence on."""
-    split = [x.split() for x in sentences_of(text)]
-    norm = [" ".join(x) for x in split]
-    sizes = [len(x) for x in split]
+    every = text.split()
+    at = [0, *(last_words(every) + 1).tolist()]
+    norm = [" ".join(every[x:y]) for x, y in zip(at, at[1:])]
+    sizes = [y - x for x, y in zip(at, at[1:])]
     out, end, total = [], 0, 0
     for i in range(len(norm)):
         while end < len(norm) and (end - i < sentences or total < words):

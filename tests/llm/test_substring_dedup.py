@@ -89,3 +89,33 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.row.doc_id or 0, r.dedup.text) for r in sd.dedup(spark, docs, scratch).collect())
     assert got == [(0, text), (1, ""), (1, "")]
     assert sd.dedup(spark, docs.limit(0), scratch).count() == 0
+
+
+def test_every_stretch_of_51_words_holds_a_run():
+    rng = random.Random(11)
+    kinds = [lambda: f"m{rng.randrange(10**6)}", lambda: rng.choice(["m", "n."]), lambda: "same", lambda: f"m{rng.randrange(9)}" + rng.choice([""] * 40 + ["."])]
+    for k in range(400):
+        word = kinds[k % len(kinds)]
+        passage = [word() for _ in range(51)]
+        texts = []
+        for space in (" ", "\n"):
+            before, after = ([word() for _ in range(rng.randrange(60))] for _ in range(2))
+            texts.append(" ".join(before) + " " + space.join(passage) + " " + " ".join(after))
+        a, b = ({d for d, _, _ in sd.spans_of(t)} for t in texts)
+        assert a & b
+        assert all(len(p.split()) <= sd.LONG for t in texts for p in sd.sentences_of(t))
+
+
+def test_passages_in_mid_sentence_and_of_repeated_words(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(60):
+        passage = words(51) if k < 30 else " ".join([f"w{k}", f"x{k}"][: 1 + k % 2] * 60)
+        for j in range(2):
+            rows.append((k * 2 + j, f"{words(3 + k % 9)} {passage} {words(4 + k % 7)}."))
+    scratch = Scratch(spark, "test")
+    got = {r.row.doc_id: r.dedup for r in sd.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert all(got[2 * k + 1].n_removed > 0 for k in range(60))
+    assert all(got[2 * k].n_removed == 0 for k in range(30))
+    scratch.drop()
