@@ -1,11 +1,12 @@
 """Operator 8: licence scan by a positional index of rare licence words.
 
 One pass over the whole texts finds the places of all words that occur in a licence template, and the
-base phrases.  Document frequencies of those words over the corpus give their IDF.  Then each file's
-highest-IDF licence words are looked up in the templates' postings (word to template and position);
-postings that agree on the relative position (place in the file less place in the template) make a
-candidate, whose aligned words are counted by IDF and whose mandatory phrases are verified word by
-word at their places.
+base phrases.  Document frequencies of those words over the corpus give their IDF.  Each template is
+looked up by its anchor, its mandatory word of highest IDF (word to template and position): every place
+of that word in the file gives a relative position (place in the file less place in the template), a
+candidate, whose mandatory phrases are verified word by word at their places and whose aligned words are
+counted by IDF.  As all mandatory words must stand there, no template is missed, however many other
+licence words the file has.
 
 Edge cases: null text is empty (no words, no labels, score 0, null places); texts of any length are
 scanned whole; repeated rows and doc_ids are scanned one by one; an empty table gives no rows; other
@@ -15,7 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Templates: label, words of a notice, and phrases that must stand at their places.
+#: Templates: label, words of a notice, and phrases (one at least) that must stand at their places.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
@@ -48,8 +49,6 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license version 2 0",)),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
 )
-#: Highest-IDF licence words of a file whose places are looked up.
-ANCHORS = 8
 #: Share of a template's IDF that its aligned words must have.
 LEAST_COVERAGE = 0.6
 
@@ -58,7 +57,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 class Templates:
-    """Words, postings and mandatory places of the templates."""
+    """Words, anchors' postings and mandatory places of the templates."""
 
     def __init__(self, templates=TEMPLATES) -> None:
         self.labels = [t[0] for t in templates]
@@ -66,10 +65,6 @@ class Templates:
         self.vocabulary = sorted({w for words in self.words for w in words} | {w for p in BASE for w in p.split()})
         self.number = {w.encode(): k for k, w in enumerate(self.vocabulary)}
         self.lines = [[self.number[w.encode()] for w in words] for words in self.words]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, line in enumerate(self.lines):
-            for q, w in enumerate(line):
-                self.postings[w].append((t, q))
         self.mandatory: list[list[int]] = []
         for words, (_, _, phrases) in zip(self.words, templates):
             places = []
@@ -78,14 +73,19 @@ class Templates:
                 places += range(at, at + len(phrase))
             self.mandatory.append(places)
 
-    def match(self, places: list[int], words: list[int], idf: np.ndarray, anchors: int, least: float) -> tuple[set[str], float]:
+    def postings(self, idf: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """The template and position of each template's anchor, by its word."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, line in enumerate(self.lines):
+            q = max(self.mandatory[t], key=lambda q: (idf[line[q]], -q))
+            out[line[q]].append((t, q))
+        return dict(out)
+
+    def match(self, places: list[int], words: list[int], idf: np.ndarray, postings: dict[int, list[tuple[int, int]]], least: float) -> tuple[set[str], float]:
         """Labels of the templates that the licence words at these places make, and the best coverage."""
         at = dict(zip(places, words))
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:anchors]
-        chosen = set(rare)
-        votes = Counter((t, p - q) for p, w in at.items() if w in chosen for t, q in self.postings[w])
         found, best = set(), 0.0
-        for (t, shift), _ in votes.items():
+        for t, shift in ((t, p - q) for p, w in at.items() for t, q in postings.get(w, ())):
             line = self.lines[t]
             hit = [at.get(shift + q) == w for q, w in enumerate(line)]
             if not all(hit[q] for q in self.mandatory[t]):
@@ -98,7 +98,7 @@ class Templates:
         return found, best
 
 
-def scan(spark: SparkSession, docs: DataFrame, scratch: Scratch, templates=TEMPLATES, anchors: int = ANCHORS, least: float = LEAST_COVERAGE) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, scratch: Scratch, templates=TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
     index = Templates(templates)
     base = [([w.encode() for w in p.split()], label) for p, label in BASE.items()]
 
@@ -133,12 +133,13 @@ def scan(spark: SparkSession, docs: DataFrame, scratch: Scratch, templates=TEMPL
     for r in counted:
         idf[r["w"]] = np.log((n_docs + 1) / (r["n"] + 0.5))
     idf = np.maximum(idf, 0.0)
+    postings = index.postings(idf)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, scores = [], []
             for places, words, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist()):
-                found, score = index.match(places, words, idf, anchors, least) if places else (set(), 0.0)
+                found, score = index.match(places, words, idf, postings, least) if places else (set(), 0.0)
                 labels.append(",".join(sorted(found | set(own))))
                 scores.append(score)
             starts = batch.column(4).to_pylist()

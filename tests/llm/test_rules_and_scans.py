@@ -107,6 +107,21 @@ def test_license_scan(spark):
     scratch.drop()
 
 
+def test_license_scan_of_several_notices(spark):
+    line = {label: words for label, words, _ in license_scan.TEMPLATES}
+    mixes = [("mit-notice", "mit-grant"), ("apache-2.0", "bsd-3-clause"), ("mpl-2.0", "mit-grant", "mit-notice"), tuple(line)]
+    vocabulary = " ".join(license_scan.Templates().vocabulary)
+    rows = [(i, " . xx ".join(line[label] for label in mix)) for i, mix in enumerate(mixes)]
+    rows += [(100 + i, f"{vocabulary} xx {words} xx") for i, words in enumerate(line.values())]
+    rows += [(1000 + i, "the use of any software is free and in the public version 2 3 4 0") for i in range(40)]
+    scratch = Scratch(spark, "test")
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(spark, spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert all(set(mix) <= got[i] and got[i] - set(license_scan.BASE.values()) == set(mix) for i, mix in enumerate(mixes))
+    assert all(label in got[100 + i] for i, label in enumerate(line))
+    assert all(got[1000 + i] == {""} for i in range(40))
+    scratch.drop()
+
+
 URLS = [
     None, "", "no scheme.com/en/", "http://a.com/x", "https://Example.COM/en/1?q=/en/", "http://www.example.com/en/2", "http://m.www.example.com/en/", "http://notexample.com/en/",
     "http://x.net/es/1", "http://x.net/fr", "http://x.net/fr/#a", "http://net/es/", "http://a.com", "http://a.com?x/", "ftp://u@b.org:80/p", "http://casino.example.org/a", "http://b.casino.example.org", "x://y://z.com/",
