@@ -23,21 +23,27 @@ EDGES_A_TASK = 400_000
 
 
 def smallest_names(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct nodes of the edges, and the smallest node that each can reach."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    parent = list(range(len(nodes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    """Distinct nodes of the edges, and the smallest node that each can reach.
 
-    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return nodes, nodes[[root(x) for x in range(len(nodes))]]
+    Names fall to the least one over each edge, and then to their own names' names, until all edges agree.
+    """
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    name = np.arange(len(nodes))
+    while True:
+        least = np.minimum(name[a], name[b])
+        apart = np.flatnonzero(name[a] != name[b])
+        if not len(apart):
+            return nodes, nodes[name]
+        # the names themselves fall too, so that whole parts move at once
+        np.minimum.at(name, name[a[apart]], least[apart])
+        np.minimum.at(name, name[b[apart]], least[apart])
+        while True:
+            up = name[name]
+            if (up == name).all():
+                break
+            name = up
+        a, b = a[apart], b[apart]
 
 
 def _join_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

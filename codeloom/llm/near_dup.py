@@ -12,9 +12,13 @@ compared whole.  A pair is compared only in the first band that it shares.  Task
 and a spanning forest of their links, never the pairs, so what is shuffled stays in proportion to the
 texts (times the blocks of hot bands).
 
-Edge cases: null and wordless texts link with nothing; texts of any length are hashed whole; rows
-that share a doc_id are one document (its texts' classes join); rows with a null doc_id link with
-nothing and have a null class; an empty table gives no rows; other columns are ignored.
+Nodes are distinct word sequences, numbered once they are written, so texts that share a doc_id are kept
+apart: each row is a document of its own.  A class is named by its least doc_id, and the row kept is the one
+with that id (of several, that with the least text hash).
+
+Edge cases: null and wordless texts link with nothing; texts of any length are hashed whole; equal rows
+link with each other and are all marked as kept if one is; rows with a null doc_id link with nothing, are
+kept and have a null class; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import PASS_BYTES, Scratch, flat_bytes, frugal, join_keys, mix64, text_chunks
-from codeloom.llm.components import components
+from codeloom.llm.components import components, smallest_names
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -222,10 +226,8 @@ def fixed(column: pa.ChunkedArray, width: int, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def links_of(group: np.ndarray, node: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, pa.Array]:
+def links_of(node: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, pa.Array]:
     """Link counts of the rows and a spanning forest of their links, as rows (u, v, links)."""
-    from codeloom.llm.components import smallest_names
-
     count = np.zeros(len(node), np.int64)
     np.add.at(count, a, copies[b])
     np.add.at(count, b, copies[a])
@@ -241,75 +243,91 @@ def links_of(group: np.ndarray, node: np.ndarray, copies: np.ndarray, a: np.ndar
 PAIR_ROWS = "u long, v long, links long"
 
 
+def numbered(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes with a ``node`` number each, which is part of what is written and so never changes."""
+    return scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+
+
 def finish(spark: SparkSession, members: DataFrame, classes: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Class and links of each member.
+    """The members with the ``n_links`` and ``class_id`` of each, its class's columns, and whether that is the ``head`` of its component.
 
-    members: doc_id, h, g (null h: links with nothing); classes: h, g, rep, copies; found: PAIR_ROWS between reps.
+    members: doc_id, h, g (null h: links with nothing) and others; classes: h, g, node, rep (least doc_id), copies and others; found: PAIR_ROWS between nodes.
     """
-    names = components(spark, found.where("v is not null").select("u", "v"), scratch).withColumnRenamed("node", "rep")
-    links = found.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    table = classes.join(names, "rep", "left").join(links, "rep", "left")
-    table = scratch.keep(table.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id")))
-    out = members.join(table, ["h", "g"], "left")
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    names = components(spark, found.where("v is not null").select("u", "v"), scratch)
+    links = found.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    table = scratch.keep(classes.join(names, "node", "left").join(links, "node", "left"))
+    own = F.struct("rep", "h", "g")
+    tops = scratch.keep(table.where("component is not null").groupBy("component").agg(F.min(own).alias("top")))
+    table = join_keys(table, tops, ["component"], "left")
+    n_links, head = F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.col("top").isNull() | (own == F.col("top"))
+    table = table.withColumns({"n_links": n_links, "class_id": F.coalesce("top.rep", "rep"), "head": head})
+    out = members.join(scratch.keep(table.drop("top", "links", "copies", "node", "component")), ["h", "g"], "left")
+    return out.withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "class_id": F.coalesce("class_id", "doc_id")})
 
 
 def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """A row for each document: ``doc_id``, ``n_links`` (other documents linked directly), ``class_id``, ``kept``."""
+    """A row for each document: ``doc_id``, ``n_links`` (other documents linked directly), ``class_id``, ``kept``, and ``text_key``.
+
+    ``text_key`` is ``xxhash64(text)``: with doc_id, it names the row.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.xxhash64("text").alias("text_key"), "text", "doc_id")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text", PASS_BYTES):
             hashes, bounds, sequence = shingles(part.column(1))
             sig = signatures(hashes, bounds)
-            empty = (np.diff(bounds) == 0) | np.asarray(part.column(0).is_null())
+            empty = (np.diff(bounds) == 0) | np.asarray(part.column(2).is_null())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column(0),
+                "doc_id": part.column(2),
+                "text_key": part.column(0),
                 "h": pa.array(sequence[:, 0].view(np.int64), mask=empty),
                 "g": pa.array(sequence[:, 1].view(np.int64), mask=empty),
                 "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
             })
 
-    signed = scratch.keep(docs.mapInArrow(frugal(sign), "doc_id long, h long, g long, sig binary"))
-    members = signed.select("doc_id", "h", "g")
-    classes = scratch.keep(members.where("h is not null").groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    signed = scratch.keep(docs.mapInArrow(frugal(sign), "doc_id long, text_key long, h long, g long, sig binary"))
+    members = signed.select("doc_id", "text_key", "h", "g")
+    classes = members.where("h is not null").groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("copies"))
+    classes = numbered(classes.select("h", "g", "copies", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key")), scratch)
     # one text of each class goes on; the key holds doc_id, so that copies do not meet in one task
-    heads = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h", "g"]).dropDuplicates(["doc_id", "h", "g"])
-    heads = scratch.keep(heads.select("doc_id", "copies", "sig"))
+    first = classes.select("h", "g", "copies", "node", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"))
+    heads = signed.join(first, ["doc_id", "text_key", "h", "g"]).dropDuplicates(["node"])
+    heads = scratch.keep(heads.select("node", "copies", "doc_id", "text_key", "sig"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = band_keys(fixed(batch.column(1), HASHES, "<u2"))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)),
+                "node": pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)),
                 "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
                 "key": pa.array(keys.reshape(-1).view(np.int64)),
             })
 
-    bands = heads.select("doc_id", "sig").mapInArrow(frugal(cut), "doc_id long, band int, key long")
+    bands = heads.select("node", "sig").mapInArrow(frugal(cut), "node long, band int, key long")
     shared = scratch.keep(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = join_keys(bands, shared, ["key"], "inner").select("*", blocks.alias("blocks"))
-    rows = rows.select("*", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int").alias("own"))
-    rows = rows.select("doc_id", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("*", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int").alias("own"))
+    rows = rows.select("node", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("doc_id", "band", F.xxhash64("key", low, high).alias("task"), F.when(low == high, -1).otherwise(F.col("own")).alias("side"))
-    rows = rows.join(heads, "doc_id")
+    rows = rows.select("node", "band", F.xxhash64("key", low, high).alias("task"), F.when(low == high, -1).otherwise(F.col("own")).alias("side"))
+    rows = rows.join(heads.select("node", "copies", "sig"), "node")
     limits = least_matches(threshold, tolerance)
 
     def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 2):
             sig = fixed(t.column("sig"), HASHES, "<u2")
-            group, band, node, side = (np.asarray(t.column(c)) for c in ("task", "band", "doc_id", "side"))
+            group, band, node, side = (np.asarray(t.column(c)) for c in ("task", "band", "node", "side"))
             alive = np.zeros(len(sig), bool)
             for a, b in candidate_pairs(sig, group, band, node, side, limits):
                 alive[a] = True
                 alive[b] = True
             yield from t.filter(pa.array(alive)).combine_chunks().to_batches()
 
-    schema = "doc_id long, band int, task long, side int, copies long, sig binary"
-    rows = rows.select("doc_id", "band", "task", "side", "copies", "sig")
-    alive = scratch.keep(rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(frugal(survive), schema))
+    schema = "node long, band int, task long, side int, copies long, sig binary"
+    rows = rows.select("node", "band", "task", "side", "copies", "sig")
+    alive = scratch.keep(rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(frugal(survive), schema))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 2):
@@ -324,7 +342,7 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
 
     def exact(t: pa.Table) -> Iterator[pa.RecordBatch]:
         sig = fixed(t.column("sig"), HASHES, "<u2")
-        group, band, node, side, copies = (np.asarray(t.column(c)) for c in ("task", "band", "doc_id", "side", "copies"))
+        group, band, node, side, copies = (np.asarray(t.column(c)) for c in ("task", "band", "node", "side", "copies"))
         pairs = list(candidate_pairs(sig, group, band, node, side, limits))
         if not pairs:
             return
@@ -343,13 +361,12 @@ def similarity_join(spark: SparkSession, docs: DataFrame, scratch: Scratch, thre
             both[x:y] = shared_counts(sets, a[x:y], b[x:y])
         good = both / (sizes[a] + sizes[b] - both) >= threshold
         if good.any():
-            yield pa.RecordBatch.from_pydict(links_of(group, node, copies, a[good], b[good]))
+            yield pa.RecordBatch.from_pydict(links_of(node, copies, a[good], b[good]))
 
-    wanted = alive.select("doc_id").distinct()
-    texts = join_keys(docs, wanted, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    with_text = alive.join(texts, "doc_id").select("doc_id", "band", "task", "side", "copies", "sig", "text")
-    found = scratch.keep(with_text.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(frugal(verify), PAIR_ROWS))
+    wanted = scratch.keep(join_keys(heads.select("node", "doc_id", "text_key"), alive.select("node").distinct(), ["node"], "left_semi"))
+    texts = join_keys(docs, wanted, ["doc_id", "text_key"], "inner").dropDuplicates(["node"]).select("node", "text")
+    with_text = alive.join(texts, "node").select("node", "band", "task", "side", "copies", "sig", "text")
+    found = scratch.keep(with_text.repartition("task").sortWithinPartitions("task", "node").mapInArrow(frugal(verify), PAIR_ROWS))
     out = finish(spark, members, classes, found, scratch)
-    return out.select("doc_id", "n_links", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
-
-
+    kept = F.col("head") & (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
+    return out.select("doc_id", "n_links", "class_id", F.coalesce(kept, F.lit(True)).alias("kept"), "text_key")

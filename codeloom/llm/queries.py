@@ -57,7 +57,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.similarity_join(spark, table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return near_dup.similarity_join(spark, table(spark, sf_dir, "documents"), Scratch(spark, "op9")).drop("text_key")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

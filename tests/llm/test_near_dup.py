@@ -77,6 +77,42 @@ def test_null_ids_and_empty_table(spark):
     assert nd.similarity_join(spark, docs.limit(0), scratch).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(8)
+    base = [[f"t{k}w{i}" for i in range(60)] for k in range(4)]
+
+    def text(k, changed=None):
+        words = list(base[k])
+        if changed is not None:
+            words[changed] = "x"
+        return " ".join(words)
+
+    # ids 1 and 5 have two texts each; 7 has one text twice, and again in other letters
+    rows = [(1, text(0)), (1, text(1)), (2, text(0, 0)), (3, text(1, 59)), (5, text(2)), (5, text(1)), (6, text(2, 59)), (7, text(3)), (7, text(3)), (7, text(3).upper()), (8, text(3, 0))]
+    rng.shuffle(rows)
+    scratch = Scratch(spark, "test")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = nd.similarity_join(spark, docs, scratch).collect()
+    key = {t: k for t, k in docs.selectExpr("text", "xxhash64(text)").collect()}
+    mine = sorted((r.doc_id, r.text_key, r.n_links, r.class_id) for r in got)
+    sets = [shingle_set(t) for _, t in rows]
+    link = [[i != j and len(x & y) / len(x | y) >= 0.8 for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    want = []
+    for i, (doc, t) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            k = todo.pop()
+            new = {j for j in range(len(rows)) if link[k][j]} - seen
+            seen |= new
+            todo += new
+        want.append((doc, key[t], sum(link[i]), min(rows[j][0] for j in seen)))
+    assert mine == sorted(want)
+    kept = sorted((r.doc_id, r.text_key) for r in got if r.kept)
+    sevens = min(key[text(3)], key[text(3).upper()])
+    assert kept == sorted([(1, key[text(0)]), (1, key[text(1)]), (5, key[text(2)])] + [(7, sevens)] * (2 if sevens == key[text(3)] else 1))
+    scratch.drop()
+
+
 def test_shared_counts_agree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(40)]
