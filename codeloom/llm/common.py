@@ -7,6 +7,9 @@ less disk than ``checkpoint()``.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -33,20 +36,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own, but on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        where = tempfile.mkdtemp(prefix="codeloom-")
-        spark.sparkContext.setCheckpointDir(f"file://{where}")
-        where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
+    if where:
+        return where
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='codeloom-')}")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 class Scratch:
-    """A folder of temporary tables of one operator call."""
+    """A folder of temporary tables of one operator call.
+
+    Results are lazy and read it, so who takes the result drops it; what is left goes when the process ends.
+    """
 
     made: list[Scratch] = []
 
@@ -55,6 +62,8 @@ class Scratch:
         self.path = f"{shared_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
         Scratch.made.append(self)
+        if (block := _block.get()) is not None:
+            block.append(self)
 
     def place(self) -> str:
         self.count += 1
@@ -73,12 +82,27 @@ class Scratch:
             Scratch.made.remove(self)
 
 
-def drop_scratch_not_read_by(docs: DataFrame, name: str) -> None:
-    """Frees earlier scratch of this kind of name, whose results have been written elsewhere since."""
-    read = docs.inputFiles()
+#: Where a block collects the scratch that it makes; of its own thread only.
+_block: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("block", default=None)
+
+
+@contextlib.contextmanager
+def scratch_of_block() -> Iterator[None]:
+    """Drops what scratch is made inside at the end: for blocks that write their result elsewhere."""
+    made: list[Scratch] = []
+    token = _block.set(made)
+    try:
+        yield
+    finally:
+        _block.reset(token)
+        for scratch in made:
+            scratch.drop()
+
+
+@atexit.register
+def _drop_all() -> None:
     for scratch in list(Scratch.made):
-        tail = scratch.path.rpartition("/")[2]
-        if tail.startswith(name) and not any(f"/{tail}/" in x for x in read):
+        with contextlib.suppress(Exception):  # the JVM may have gone
             scratch.drop()
 
 
@@ -116,15 +140,27 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 TEXT_ROWS = 1000
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
     """For a session whose rows carry whole texts: batches of ``TEXT_ROWS`` rows, unless smaller ones are set.
 
     Spark's 10,000 rows of text are held several times over, in the executor and in each of its workers.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
+    now = int(spark.conf.get(BATCH_ROWS))
     if not 0 < now <= TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+        spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+
+
+@contextlib.contextmanager
+def own_batches(spark: SparkSession) -> Iterator[None]:
+    """Puts the session's batch size back at the end."""
+    now = spark.conf.get(BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, now)
 
 
 #: Bytes of text of which a vectorised pass makes arrays at once (some eighty bytes for each).

@@ -6,13 +6,15 @@ logistic regression.  In every round each view names the unlabelled documents th
 in the classes' proportion, and the other view learns from them as well.  Both are then calibrated on
 labelled documents that were held out, and a document's score joins the calibrated log odds.
 
-The fit uses a bounded sample, drawn by hash: ``LABELLED`` labelled documents and a pool of ``POOL``
-others.  Every document is scored, on its whole text, in one pass without a shuffle.
+The fit uses a bounded sample, drawn by hash of the id over the whole table: ``LABELLED`` labelled documents
+and a pool of ``POOL`` documents without a label, both parameters.  Every document is scored, on its whole
+text, in one pass without a shuffle.
 
 Edge cases: null text is empty; null language, source and n_chars are values of their own; documents
-with contradictory labels, and labels other than 0 and 1, are not learnt from; where either class has
-fewer than two labelled documents every document scores 1 and stays; repeated rows score alike; an
-empty table gives no rows; other columns pass through ``keep`` and are ignored by ``score``.
+with contradictory labels, and labels other than 0 and 1, are not learnt from; of rows that share a doc_id
+the one with the least text hash is; where either class has fewer than two labelled documents every
+document scores 1 and stays; repeated rows score alike; an empty table gives no rows; other columns pass
+through ``keep`` and are ignored by ``score``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import PASS_BYTES, flat_bytes, frugal, text_chunks
+from codeloom.llm.common import PASS_BYTES, flat_bytes, frugal, join_keys, text_chunks
 from codeloom.llm.near_dup import word_hashes
 
 #: Bounds of the sample that the classifiers are fitted on.
@@ -215,15 +217,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
     """Fits both views on the bounded sample; features are made on executors."""
     rows = _inputs(docs)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    known = known.agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    drawn = known.select("doc_id", F.col("low").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
+    known = known.agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    drawn = known.where("low = high").select("doc_id", F.col("low").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
     y_of = {r["doc_id"]: r["y"] for r in drawn}
-    others = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).collect()
-    ids = sorted({*y_of, *(r["doc_id"] for r in others)})
     if len(set(y_of.values())) < 2:
         return Model()
-    # at most ``labelled`` + ``pool`` ids, a bound that doesn't grow with the data
+    free = join_keys(rows.select("doc_id").where("doc_id is not null"), known.select("doc_id"), ["doc_id"], "left_anti").distinct()
+    others = free.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).collect()
+    ids = sorted({*y_of, *(r["doc_id"] for r in others)})
+    # at most ``labelled`` + ``pool`` ids, a bound that doesn't grow with the data, and one row for each
     sample = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    names = [c for c in rows.columns if c != "doc_id"]
+    one = rows.join(sample, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("at"), *names)).alias("r"))
+    one = one.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, grams, meta in _parts(batches):
@@ -233,11 +239,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
                 "meta": pa.array([x.tobytes() for x in meta.astype(np.float32)], pa.binary()),
             })
 
-    got = rows.join(sample, "doc_id", "left_semi").mapInArrow(frugal(run), "doc_id long, grams binary, meta binary").toArrow()
+    got = one.mapInArrow(frugal(run), "doc_id long, grams binary, meta binary").toArrow()
+    if not got.num_rows:
+        return Model()
     at = np.array(got.column("doc_id").to_pylist(), np.int64)
     grams = np.frombuffer(b"".join(got.column("grams").to_pylist()), np.float16).reshape(len(at), -1).astype(np.float32)
     meta = np.frombuffer(b"".join(got.column("meta").to_pylist()), np.float32).reshape(len(at), -1)
-    order = np.lexsort((grams.sum(1), at))
+    order = np.argsort(at)
     at, grams, meta = at[order], grams[order], meta[order]
     y = np.array([y_of.get(i, -1) for i in at.tolist()])
     own = y >= 0

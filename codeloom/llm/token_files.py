@@ -14,9 +14,13 @@ store).  A row is one block: ``shard``, ``block``, ``first`` (tokens of the shar
 
 Shards and blocks ascend by doc_id.  The rank table is saved beside the shards.
 
+A tokenizer's special strings in a text become its special ids, as the library has it; ``special_as_text``
+takes them for ordinary text instead.
+
 Edge cases: null text is the empty text (only the end id); a null doc_id sorts first and comes back
-null; repeated doc_ids are kept and ordered by their ids; an empty table gives no rows; other columns
-are ignored.  Blocks hold whole documents, so a very long one makes a large block.
+null; rows that share a doc_id are all kept, shorter ones first, and may lie in several shards; an empty
+table gives no rows; other columns are ignored.  Blocks hold whole documents, so a very long one makes a
+large block.
 """
 
 from __future__ import annotations
@@ -55,16 +59,17 @@ class Encoder:
 
     The pre-tokenizer never joins characters across a single space or newline that stands between
     two other characters, nor a letter with the punctuation after it, so such a text is the
-    concatenation of its words' ids.  Any other text (runs of spaces, tabs, edges) goes to the
-    library as a whole.  A word keeps the newline that precedes it, and else stands for itself after
+    concatenation of its words' ids.  Any other text (runs of spaces, tabs, edges, special strings) goes
+    to the library as a whole.  A word keeps the newline that precedes it, and else stands for itself after
     a space.
     """
 
-    def __init__(self, path: str, end_id: int, words_kept: int = WORDS_KEPT) -> None:
+    def __init__(self, path: str, end_id: int, words_kept: int = WORDS_KEPT, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.lib.get_added_tokens_decoder().values()]
         size = self.lib.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
@@ -118,13 +123,13 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.memory.get
+        known, special = self.memory.get, self.special
         split: list[tuple[list[str], list, list[int]] | None] = []
         unknown: set[str] = set()
         for text in texts:
             words = f"\n{text}".replace("\n", " \n").split(" ") if text else []
-            if not text or words[1] == "\n" or "" in words[2:] or "\n" in words:
-                split.append(None)  # neighbouring, leading or trailing spaces
+            if not text or words[1] == "\n" or "" in words[2:] or "\n" in words or any(x in text for x in special):
+                split.append(None)  # neighbouring, leading or trailing spaces; special strings
                 continue
             del words[0]
             parts = list(map(known, words))
@@ -157,12 +162,12 @@ def places_of_none(parts: list) -> list[int]:
 
 
 @functools.cache
-def encoder(path: str, end_id: int, words_kept: int = WORDS_KEPT) -> Encoder:
+def encoder(path: str, end_id: int, words_kept: int = WORDS_KEPT, special_as_text: bool = False) -> Encoder:
     """One for a Python worker, over all its tasks."""
-    return Encoder(path, end_id, words_kept)
+    return Encoder(path, end_id, words_kept, special_as_text)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True, words_kept: int = WORDS_KEPT) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True, words_kept: int = WORDS_KEPT, special_as_text: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens`` (with the end id) and, if asked for, ``ids`` as little-endian numbers.
 
     A worker holds about 200 bytes for each of ``words_kept`` words from then on; with 0 a task keeps
@@ -171,7 +176,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool =
     schema = "doc_id long, n_tokens long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer, end_id, words_kept) if words_kept else Encoder(tokenizer, end_id, WORDS_A_TASK)
+        own = encoder(tokenizer, end_id, words_kept, special_as_text) if words_kept else Encoder(tokenizer, end_id, WORDS_A_TASK, special_as_text)
         for part in text_chunks(batches, "text", 1 << (20 if words_kept else 18)):
             coded = own.encode(part.column(1).to_pylist())
             n = pa.array([len(x) // own.dtype.itemsize for x in coded], pa.int64())
@@ -223,16 +228,18 @@ def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 #: What is kept of four bytes read at a value's start.
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], "<u4")
+SHORT_MASKS = MASKS[:3].astype("<u2")
 
 
 def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The values again: lengths by table lookup, starts by a running sum, bytes by one gather."""
+    """The values again (as 16 bits if all fit): lengths by table lookup, starts by a running sum, bytes by one gather."""
     length = LENGTHS[control].reshape(-1)[:n]
     at = np.cumsum(length, dtype=np.int64)
     at -= length
     padded = np.concatenate([data, np.zeros(3, np.uint8)])
     if len(length) and length.max() <= 2:
-        return (padded[at] | padded[at + 1].astype("<u4") << np.uint32(8)) & MASKS[length]
+        pairs = np.ndarray((len(padded) - 1,), "<u2", padded, strides=(1,))  # two bytes from each place on
+        return pairs[at] & SHORT_MASKS[length]
     words = np.lib.stride_tricks.as_strided(padded, (max(len(padded) - 3, 0), 4), (1, 1))
     return words[at].view("<u4").reshape(-1) & MASKS[length]
 
@@ -259,10 +266,10 @@ def unpack_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return doc_ids, lengths.astype(np.int64), unpack_values(control, data, n)
 
 
-def write_token_files(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch, tokenizer: str | None = None, end_id: int = 2) -> None:
+def write_token_files(spark: SparkSession, docs: DataFrame, path: str, scratch: Scratch, tokenizer: str | None = None, end_id: int = 2, special_as_text: bool = False) -> None:
     """Writes the shards of ``docs`` (doc_id, text) below ``path``, with the rank table in ``path``/ranks."""
     tokenizer = tokenizer or default_tokenizer()
-    tokens = scratch.keep(tokenize(docs, tokenizer, end_id))
+    tokens = scratch.keep(tokenize(docs, tokenizer, end_id, special_as_text=special_as_text))
     size = vocab_size(tokenizer)
     width = "<u2" if size <= 1 << 16 else "<u4"
     counts = id_counts(tokens, size)
@@ -296,8 +303,10 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, scratch:
         if ids:
             yield flush()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
-    blocks = ordered.mapInArrow(run, "shard int, block int, first long, n_docs long, n_tokens long, payload binary")
+    # rows that share a doc_id, or have none, are dealt to several shards by their places in the scratch table
+    order = ["doc_id", "n_tokens", "place"]
+    ordered = tokens.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(run, "shard int, block int, first long, n_docs long, n_tokens long, payload binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 

@@ -1,12 +1,22 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
 
-The stages set small Arrow batches for the session, as rows carry whole texts.  All but the last return the columns of ``documents``:
+All but the last return the columns of ``documents``:
 
 1. quality_classifier: documents that the co-trained classifier rejects go;
-2. jaccard_join: one document of each group of near copies stays;
+2. jaccard_join: one document of each group of near copies stays, of equal rows one;
 3. substring_dedup: sentences of repeated passages go, and documents of which no word is left;
 4. mixing: sources are repeated towards their target weights (repeated documents are repeated rows);
 5. packing: the bins of a training sequence file, one row for each piece of a document.
+
+Rows are named by doc_id and text together, so of rows that share a doc_id each is judged by its own text.
+Edge cases: null texts are judged by the classifier as empty, have no copies, no sentences, count as one
+token and are packed as their end id; a null doc_id has no copies and stays; texts of any length are used
+whole; ties go to the least doc_id, then the least hash of the text; an empty table gives an empty result
+with the columns of each stage; columns beyond those of ``documents`` pass through, whatever their names.
+
+A stage's result is lazy and reads scratch tables.  ``run`` writes each stage's result and then frees that
+stage's scratch, and no one else's.  Stages set small Arrow batches for the session, as rows carry whole
+texts; ``run`` puts the session's own size back.
 """
 
 from __future__ import annotations
@@ -17,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import mixing, near_dup, packing, quality_classifier, substring_dedup, token_files
-from codeloom.llm.common import SPACES, Scratch, drop_scratch_not_read_by, join_keys, small_batches, table
+from codeloom.llm.common import SPACES, Scratch, join_keys, own_batches, scratch_of_block, small_batches, table
 
 #: The stages are no SQL: a trained classifier, hashing and packing decide.  Tests hold them against brute force.
 ORACLE_SQL = None
@@ -31,16 +41,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    drop_scratch_not_read_by(docs, "pipeline")
     scratch = Scratch(spark, "pipeline2")
-    judged = near_dup.similarity_join(spark, docs, scratch)
-    copies = scratch.keep(judged.where("not kept").select("doc_id").distinct())
-    return join_keys(docs, copies, ["doc_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = scratch.keep(near_dup.similarity_join(spark, docs, scratch).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "kept"))
+    text = F.xxhash64(F.col("text").cast("string")).alias("__text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("__id"), text)
+    named = judged.where("kept and __id is not null").groupBy("__id", "__text").agg(F.count("*").alias("n"))
+    twice = scratch.keep(named.where("n > 1").select("__id", "__text"))
+    gone = scratch.keep(judged.where("not kept").select("__id", "__text").distinct())
+    rows = join_keys(rows, gone, ["__id", "__text"], "left_anti")
+    if twice.head(1):
+        once = join_keys(rows, twice, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"])
+        rows = join_keys(rows, twice, ["__id", "__text"], "left_anti").unionByName(once)
+    return rows.select("row.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    drop_scratch_not_read_by(docs, "pipeline")
     found = substring_dedup.dedup(spark, docs, Scratch(spark, "pipeline3"))
     emptied = (F.col("dedup.n_removed") > 0) & (F.length(F.translate("dedup.text", SPACES, "")) == 0)
     kind = dict(docs.dtypes)["text"]
@@ -50,13 +66,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    drop_scratch_not_read_by(docs, "pipeline")
     return mixing.mix(spark, docs, Scratch(spark, "pipeline4")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    drop_scratch_not_read_by(docs, "pipeline")
     sizes = token_files.tokenize(docs, token_files.default_tokenizer(), keep_ids=False, words_kept=0)
     return packing.pack_documents(Scratch(spark, "pipeline5").keep(sizes))
 
@@ -73,11 +87,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is written in the shared folder and reread."""
     scratch = Scratch(spark, "pipeline")
-    Scratch.made.remove(scratch)  # read to the end, so not freed by the stages
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with own_batches(spark):
+        for _, stage in STAGES[:-1]:
+            with scratch_of_block():
+                docs = scratch.keep(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,12 +25,10 @@ def test_values_round_trip(values):
 def library():
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(tf.default_tokenizer())
-    lib.encode_special_tokens = True
-    return lib
+    return Tokenizer.from_file(tf.default_tokenizer())  # as it is
 
 
-TEXTS = ["", " ", "a", "one two\nthree", "  lead", "trail \n", "a\t b", "don't stop... now!!\nIt's 12,5%", "é ü\nñandú ß", "x\n\ny", " nb sp", "junk### on*** a%%%", "<|endoftext|> here", "word " * 5000 + "end"]
+TEXTS = ["", " ", "a", "one two\nthree", "  lead", "trail \n", "a\t b", "don't stop... now!!\nIt's 12,5%", "é ü\nñandú ß", "x\n\ny", " nb sp", "junk### on*** a%%%", "<|endoftext|> here", "hello <|endoftext|> world", "a<|endoftext|>b <|endoftext|>\n<|endoftext|>", "no <|endoftext | >", "word " * 5000 + "end"]
 
 
 @given(st.lists(st.text(alphabet="ab é.,'!\n\t1 ", max_size=30), max_size=8))
@@ -67,6 +65,37 @@ def test_files_against_brute_force(spark, library):
     scratch.drop()
 
 
+def test_special_strings_as_text():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tf.default_tokenizer())
+    lib.encode_special_tokens = True
+    own = tf.Encoder(tf.default_tokenizer(), 2, special_as_text=True)
+    for text, got in zip(TEXTS, own.encode(TEXTS)):
+        assert np.frombuffer(got, own.dtype).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_one_id_in_several_shards(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        shards(spark)
+    finally:
+        spark.conf.set(name, before)
+
+
+def shards(spark):
+    rows = [(5 if i % 3 else None, f"w{i % 7} " * (i % 11 + 1)) for i in range(3000)]
+    scratch = Scratch(spark, "test")
+    tf.write_token_files(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path := scratch.place(), scratch)
+    got = sorted((tuple(r) for r in tf.read_token_files(spark, path).collect()), key=lambda r: r[1])
+    assert len(got) == 3000 and [r[0] for r in got] == [None] * 1000 + [5] * 2000
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    assert spark.read.parquet(f"{path}/blocks").select("shard").distinct().count() > 2
+    scratch.drop()
+
+
 def test_empty_table(spark):
     scratch = Scratch(spark, "test")
     tf.write_token_files(spark, spark.createDataFrame([], "doc_id long, text string"), path := scratch.place(), scratch)
