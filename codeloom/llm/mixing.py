@@ -1,10 +1,12 @@
 """Operator 5: mixing sources to target weights by temperature.
 
 Token shares p of the sources are raised to an exponent a in [0, 1] and normalised.  The exponent is
-bisected (many cuts at once, as one aggregate) to the largest one at which the weights have the target
-entropy, if one is asked for, and raised where need be until no source is repeated more than
-``most_repeats`` times as often as the one repeated least.  The budget is such that the least repeated
-source is used ``passes`` times, so with ``passes`` = 1 no document is lost.
+bisected (many cuts at once, as one aggregate) against what it is to meet: the largest one whose weights
+have at least the target entropy, and the least one with which no source is repeated more than
+``most_repeats`` times as often as the one repeated least; the larger of the two holds, as the limit on
+repeats must.  The target is given in nats (``entropy``) or as the part of the way from the entropy of the
+shares to the largest possible (``evenness``: 0 leaves the shares, 1 makes all weights equal).  The budget
+is such that the least repeated source is used ``passes`` times, so with ``passes`` = 1 no document is lost.
 
 The weights are realised as block permutations: documents of a source fall into 4096 blocks by hash.
 Each whole pass uses all of them.  The last, partial pass takes whole blocks in the order of a seeded
@@ -15,6 +17,8 @@ by block in each pass's own order; sorting by it gives the training order.
 Per-source numbers stay in a small table; running sums go over at most 4096 rows a source, and hot
 sources are summed before any shuffle.
 
+Tokens are white-space words here unless the caller gives another measure as a column (``tokens``).
+
 Edge cases: a null source is a source of its own; null texts count as one token, as empty ones do;
 repeated rows are documents of their own, equal ones are taken together; without rows there are none;
 all columns pass through.
@@ -23,6 +27,7 @@ all columns pass through.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +36,8 @@ from codeloom.llm.common import SPACE_CLASS, SPACES, Scratch, fits_broadcast
 
 BLOCKS = 4096
 MOST_REPEATS = 2.0
+#: Half the way from the corpus's own entropy to equal weights.
+EVENNESS = 0.5
 SEED = 17
 #: Cuts of the bracket in one round of bisection.
 CUTS = 32
@@ -44,40 +51,54 @@ def word_tokens(text: Column) -> Column:
     return F.greatest(F.coalesce(F.size(F.split(trimmed, f"{SPACE_CLASS}+")), F.lit(1)), F.lit(1)).cast("long")
 
 
-def entropies(sources: DataFrame, exponents: list[float]) -> list[float]:
-    """Entropy (nats) of the normalised p ** a for each exponent, in one aggregate."""
+def measures(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent the entropy (nats) of the normalised p ** a, and how often the most repeated source goes
+    for once of the least repeated one; in one aggregate."""
     aggs = []
     for k, a in enumerate(exponents):
-        w = F.pow("p", F.lit(a))
-        aggs += [F.sum(w).alias(f"z{k}"), F.sum(w * F.lit(a) * F.log("p")).alias(f"t{k}")]
+        w, repeats = F.pow("p", F.lit(a)), F.pow("p", F.lit(a - 1))
+        aggs += [F.sum(w).alias(f"z{k}"), F.sum(w * F.lit(a) * F.log("p")).alias(f"t{k}"), (F.max(repeats) / F.min(repeats)).alias(f"r{k}")]
     r = sources.agg(*aggs).first()
-    return [math.log(r[f"z{k}"]) - r[f"t{k}"] / r[f"z{k}"] for k in range(len(exponents))]
+    return [(math.log(r[f"z{k}"]) - r[f"t{k}"] / r[f"z{k}"], r[f"r{k}"]) for k in range(len(exponents))]
 
 
-def exponent_for(sources: DataFrame, entropy: float | None, most_repeats: float, rounds: int = 4) -> float:
+def bisect(sources: DataFrame, holds: Callable[[tuple[float, float]], bool], upper: bool, rounds: int = 6) -> float:
+    """The exponent in [0, 1] at which ``holds`` changes: the least that holds if it holds above (``upper``), else the largest."""
+    low, high = 0.0, 1.0
+    for _ in range(rounds):
+        grid = [low + (high - low) * k / CUTS for k in range(CUTS + 1)]
+        found = [holds(x) for x in measures(sources, grid)]
+        if upper:
+            k = found.index(True) if True in found else CUTS
+            if k == 0:
+                return grid[0]
+            low, high = grid[k - 1], grid[k]
+        else:
+            k = max((i for i, x in enumerate(found) if x), default=0)
+            if k == CUTS:
+                return grid[CUTS]
+            low, high = grid[k], grid[k + 1]
+    return high if upper else low
+
+
+def exponent_for(sources: DataFrame, entropy: float | None, evenness: float | None, most_repeats: float) -> float:
     """The temperature exponent; ``sources`` has the shares ``p``."""
-    r = sources.agg(F.min("p").alias("low"), F.max("p").alias("high")).first()
+    r = sources.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("n")).first()
     if r["low"] is None or r["low"] == r["high"]:
         return 1.0
-    # repeats go as p ** (a - 1): the rarest source has the most
-    least = max(0.0, 1.0 - math.log(most_repeats) / math.log(r["high"] / r["low"]))
-    if entropy is None:
-        return least
-    low, high = 0.0, 1.0  # the entropy falls as the exponent rises
-    for _ in range(rounds):
-        grid = [low + (high - low) * k / CUTS for k in range(CUTS + 1)]
-        found = entropies(sources, grid)
-        above = [k for k, x in enumerate(found) if x >= entropy]
-        k = max(above, default=0)
-        low, high = grid[k], grid[min(k + 1, CUTS)]
-    return max(low, least)
+    if entropy is None and evenness is not None:
+        own = measures(sources, [1.0])[0][0]
+        entropy = own + evenness * (math.log(r["n"]) - own)
+    # repeats go as p ** (a - 1), so the limit holds from some exponent on; the entropy falls as the exponent rises
+    least = bisect(sources, lambda x: x[1] <= most_repeats * (1 + 1e-9), True)
+    return least if entropy is None else max(least, bisect(sources, lambda x: x[0] >= entropy, False))
 
 
 def _hash_bits(pass_no: Column, key: Column, seed: int, bits: int, shift: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), pass_no, key), shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokens: Column | None = None, entropy: float | None = None, most_repeats: float = MOST_REPEATS, passes: float = 1.0, seed: int = SEED) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokens: Column | None = None, entropy: float | None = None, evenness: float | None = EVENNESS, most_repeats: float = MOST_REPEATS, passes: float = 1.0, seed: int = SEED) -> DataFrame:
     """The mixture: struct ``row`` (the columns of ``docs``), ``pass``, ``position``, ``n_tokens``, ``weight``."""
     tokens = word_tokens(F.col("text")) if tokens is None else tokens.cast("long")
     light = docs.select(F.col("source").cast("string").alias("source"), tokens.alias("n_tokens"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"))
@@ -86,7 +107,7 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokens: Column |
     totals = scratch.keep(totals.where("tokens > 0"))
     every = totals.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     sources = totals.select("*", (F.col("tokens") / F.lit(float(max(every, 1)))).alias("p"))
-    a = exponent_for(sources, entropy, most_repeats)
+    a = exponent_for(sources, entropy, evenness, most_repeats)
     r = sources.agg(F.sum(F.pow("p", F.lit(a))).alias("z"), F.min(F.pow("p", F.lit(a - 1))).alias("rate")).first()
     z, rate = r["z"] or 1.0, r["rate"] or 1.0
     repeats = F.lit(passes) * F.pow("p", F.lit(a - 1)) / F.lit(rate)
