@@ -1,13 +1,17 @@
-"""Operator 2: best-fit packing with several permitted sequence lengths.
+"""Operator 2: variable-capacity best-fit packing into several permitted sequence lengths.
 
 A document of more tokens than the largest length is cut into pieces of that length and a rest, so
-nothing is dropped.  Pieces are dealt evenly to tasks, and each task packs them chunk by chunk
-(``CHUNK`` pieces, longest first), so memory is bounded whatever the table's size or its largest
-document.  A piece goes into the open bin with the least sufficient room; if there is none, a bin of
-the least-cost permitted length is opened: the length whose cost per token, filled with what is still
-to be packed, is least.  Each ladder of lengths (all of them, or all but the longest ones) is tried
-for a chunk, every bin is then downsized to the least permitted length that holds its contents, and
-the ladder of the least total cost stays.
+nothing is dropped.  Pieces are dealt evenly to tasks, and each task packs them chunk by chunk (``CHUNK``
+pieces, longest first), so memory is bounded whatever the table's size or its largest document, and the
+number of tasks is, too (``MOST_TASKS``).
+
+A piece goes into the open bin with the least sufficient room.  If there is none, a bin is opened for it:
+for each permitted length that holds the piece it is looked ahead how the pieces still to be packed would
+fill the rest of it (the largest that fits, again and again), and the length with the least cost per token
+of those contents is opened.  So a length above the least sufficient one is opened where the pieces at
+hand fill it better.  At the end every bin is downsized to the least permitted length that holds its
+contents.  A chunk's packing is never dearer than with the least sufficient length opened each time:
+that is done as well, and the cheaper of the two stays.
 
 A bin of c tokens costs ``c * (1 + attention * c / longest) + overhead``.
 
@@ -19,6 +23,7 @@ like any other.
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +35,11 @@ from pyspark.sql import functions as F
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 ATTENTION = 0.25
 OVERHEAD = 16.0
-#: Pieces packed together.
-CHUNK = 20_000
-#: Pieces a task is given, about.
-PIECES_A_TASK = 4_000
+#: Pieces packed together, and what a task is given, unless there would be too many tasks.
+CHUNK = 10_000
+MOST_TASKS = 20_000
+#: Different sizes that looking ahead puts into a bin at most.
+LOOK = 12
 
 SCHEMA = "doc_id long, piece int, first_token long, n_tokens long, bin_id long, bin_length int, bin_offset int"
 
@@ -42,39 +48,51 @@ def cost_of(length: int, longest: int, attention: float = ATTENTION, overhead: f
     return length * (1 + attention * length / longest) + overhead
 
 
-def _fill(sizes: list[int], ladder: list[int], costs: dict[int, float]) -> tuple[list[int], list[int], list[int]]:
-    """Best fit of sizes that fall: each piece's bin and offset, and the bins' contents."""
-    rooms: list[int] = []  # rooms of open bins, sorted, with
-    owners: dict[int, list[int]] = {}  # the bins that have each room
+def _planned(size: int, length: int, sizes: list[int], left: dict[int, int]) -> int:
+    """Contents of a new bin of this length, begun with the piece, if the largest pieces that fit follow.
+
+    ``sizes``: the distinct sizes still to be packed, rising; ``left``: how many there are of each.
+    """
+    room, below = length - size, len(sizes)
+    for _ in range(LOOK):
+        below = bisect.bisect_right(sizes, room, 0, below)
+        if not below:
+            break
+        other = sizes[below - 1]
+        room -= other * min(room // other, left[other] - (other == size))
+        below -= 1  # smaller ones next
+    return length - room
+
+
+def _fill(falling: list[int], lengths: tuple[int, ...], costs: dict[int, float], ahead: bool) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Best fit of sizes that fall: each piece's bin and offset, the bins' contents and the lengths they were opened with."""
+    rooms: list[tuple[int, int]] = []  # (room, bin) of open bins
+    left = dict(Counter(falling))
+    sizes = sorted(left)
     used: list[int] = []
-    capacity: list[int] = []
+    opened: list[int] = []
     bins, offsets = [], []
-    left = sum(sizes)
-    for size in sizes:
-        at = bisect.bisect_left(rooms, size)
+    for size in falling:
+        at = bisect.bisect_left(rooms, (size, -1))
         if at < len(rooms):
-            room = rooms[at]
-            own = owners[room]
-            b = own.pop()
-            if not own:
-                del owners[room]
-                rooms.pop(at)
+            b = rooms.pop(at)[1]
         else:
-            length = min((c for c in ladder if c >= size), key=lambda c: (costs[c] / min(c, left), c))
+            length = lengths[bisect.bisect_left(lengths, size)]
+            if ahead:
+                plans = [(c, _planned(size, c, sizes, left)) for c in lengths if c >= size]
+                length = min(plans, key=lambda p: (costs[lengths[bisect.bisect_left(lengths, p[1])]] / p[1], p[0]))[0]
             b = len(used)
             used.append(0)
-            capacity.append(length)
+            opened.append(length)
         bins.append(b)
         offsets.append(used[b])
         used[b] += size
-        left -= size
-        if room := capacity[b] - used[b]:
-            if room in owners:
-                owners[room].append(b)
-            else:
-                owners[room] = [b]
-                bisect.insort(rooms, room)
-    return bins, offsets, used
+        left[size] -= 1
+        if not left[size]:
+            sizes.pop()  # the largest
+        if opened[b] > used[b]:
+            bisect.insort(rooms, (opened[b] - used[b], b))
+    return bins, offsets, used, opened
 
 
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, attention: float = ATTENTION, overhead: float = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,10 +102,9 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, attention: float
     lengths = tuple(sorted(set(lengths)))
     costs = {c: cost_of(c, lengths[-1], attention, overhead) for c in lengths}
     order = np.argsort(-sizes, kind="stable")
-    falling = sizes[order].tolist()
     best = None
-    for top in range(bisect.bisect_left(lengths, falling[0]), len(lengths)):
-        bins, offsets, used = _fill(falling, list(lengths[: top + 1]), costs)
+    for ahead in (True, False):
+        bins, offsets, used, _ = _fill(sizes[order].tolist(), lengths, costs, ahead)
         final = [lengths[bisect.bisect_left(lengths, u)] for u in used]
         total = sum(costs[c] for c in final)
         if best is None or total < best[0]:
@@ -99,14 +116,14 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, attention: float
     return out[0], out[1], out[2]
 
 
-def pack_documents(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, attention: float = ATTENTION, overhead: float = OVERHEAD, chunk: int = CHUNK, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
+def pack_documents(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, attention: float = ATTENTION, overhead: float = OVERHEAD, chunk: int = CHUNK, most_tasks: int = MOST_TASKS) -> DataFrame:
     """A row for each piece of each document of ``sizes`` (doc_id, n_tokens): its bin, the bin's length and the offset."""
     longest = max(lengths)
     sizes = sizes.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long")).where("n_tokens > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(longest).cast("long")))
     pieces = sizes.select("doc_id", "n_tokens", starts.alias("first_token"))
     pieces = pieces.select("doc_id", (F.col("first_token") / longest).cast("int").alias("piece"), "first_token", F.least(F.lit(longest), F.col("n_tokens") - F.col("first_token")).alias("n_tokens"))
-    tasks = max(1, -(-pieces.count() // pieces_a_task))
+    tasks = max(1, min(most_tasks, -(-pieces.count() // chunk)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # bins of one task never meet those of another: task, chunk and bin make the id

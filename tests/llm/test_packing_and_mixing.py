@@ -38,6 +38,77 @@ def test_pack_is_sound_and_not_costlier_than_the_plain_ways(sizes):
     assert cost <= alone + 1e-6
 
 
+def cost_of_bins(bins, final):
+    return sum(packing.cost_of(c, 8192) for c in dict(zip(bins.tolist(), final.tolist())).values())
+
+
+def least_sufficient(sizes):
+    """Best fit, falling, with the least length that holds the piece opened each time."""
+    rooms, used = {}, []
+    for s in sorted(sizes, reverse=True):
+        b = min((b for b, r in rooms.items() if r >= s), key=lambda b: (rooms[b], b), default=None)
+        if b is None:
+            b = len(used)
+            used.append(0)
+            rooms[b] = min(c for c in packing.LENGTHS if c >= s)
+        used[b] += s
+        rooms[b] -= s
+    return sum(packing.cost_of(min(c for c in packing.LENGTHS if c >= u), 8192) for u in used)
+
+
+def test_lengths_above_the_least_sufficient_are_opened_and_pay():
+    rng = random.Random(1)
+    lengths, costs = packing.LENGTHS, {c: packing.cost_of(c, 8192) for c in packing.LENGTHS}
+    for low, high, gain in ((500, 700, 0.75), (1100, 1500, 0.75), (300, 3000, 1.0)):
+        sizes = [rng.randint(low, high) for _ in range(1500)]
+        bins, offsets, final = packing.pack(np.array(sizes))
+        check_bins(zip(bins.tolist(), final.tolist(), offsets.tolist(), sizes))
+        assert cost_of_bins(bins, final) < gain * least_sufficient(sizes)
+        of, _, _, opened = packing._fill(sorted(sizes, reverse=True), lengths, costs, True)
+        first = {}
+        for b, s in zip(of, sorted(sizes, reverse=True)):
+            first.setdefault(b, s)
+        by_class = defaultdict(set)
+        for b, s in first.items():
+            by_class[min(c for c in lengths if c >= s)].add(opened[b])
+        assert max(len(x) for x in by_class.values()) > 1  # several lengths for one class of sizes
+
+
+def test_downsizing_changes_bins():
+    rng = random.Random(1)
+    lengths, costs = packing.LENGTHS, {c: packing.cost_of(c, 8192) for c in packing.LENGTHS}
+    changed = 0
+    for _ in range(20):
+        sizes = sorted((min(8192, int(rng.lognormvariate(6.5, 1.2)) + 1) for _ in range(400)), reverse=True)
+        _, _, used, opened = packing._fill(sizes, lengths, costs, True)
+        changed += sum(o > min(c for c in lengths if c >= u) for u, o in zip(used, opened))
+    assert changed > 0
+
+
+def test_against_the_best_of_all_packings():
+    """Small cases against every partition into bins."""
+
+    def best(sizes):
+        if not sizes:
+            return 0.0
+        least = math.inf
+        rest = sizes[1:]
+        for mask in range(1 << len(rest)):
+            own = sizes[0] + sum(s for k, s in enumerate(rest) if mask >> k & 1)
+            if own <= 8192:
+                length = min(c for c in packing.LENGTHS if c >= own)
+                least = min(least, packing.cost_of(length, 8192) + best([s for k, s in enumerate(rest) if not mask >> k & 1]))
+        return least
+
+    rng = random.Random(3)
+    ratio = []
+    for _ in range(40):
+        sizes = [rng.choice([rng.randint(1, 512), rng.randint(400, 1500), rng.randint(1, 8192)]) for _ in range(rng.randint(1, 6))]
+        bins, _, final = packing.pack(np.array(sizes))
+        ratio.append(cost_of_bins(bins, final) / best(sizes))
+    assert min(ratio) >= 1 - 1e-9 and sum(ratio) / len(ratio) < 1.03
+
+
 def first_fit_cost(sizes):
     rooms = []
     for s in sorted(sizes, reverse=True):
@@ -62,7 +133,7 @@ def test_pack_beats_one_length():
 def test_pack_documents(spark):
     rows = [(i, (i * 37) % 900 + 1, "x") for i in range(500)] + [(700, 30_000, "x"), (701, 8192, "x"), (702, 8193, "x"), (703, 0, "x"), (704, None, "x"), (None, 5, "x"), (1, 38, "x"), (1, 38, "x")]
     sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long, bin_id string")
-    got = packing.pack_documents(sizes, chunk=100, pieces_a_task=150).collect()
+    got = packing.pack_documents(sizes, chunk=100, most_tasks=3).collect()
     check_bins([(r.bin_id, r.bin_length, r.bin_offset, r.n_tokens) for r in got])
     total = Counter()
     for r in got:
