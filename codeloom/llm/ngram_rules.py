@@ -2,16 +2,21 @@
 
 Words are runs of anything but white space.  Word unigrams and bigrams are hashed into a fixed number
 of buckets.  The raw multinomial comes from all documents, the trusted one from the documents whose
-ids are given, drawn towards the raw one by ``prior`` pseudo-counts.  A document's score is the mean
-of log(trusted / raw) over its n-grams; it passes where the score reaches the threshold and the base
-rules hold.
+ids are given, drawn towards the raw one by pseudo-counts in proportion (``prior``) to the trusted n-grams.
+Documents fall into ``folds`` by a hash of their id, and a document is scored by trusted counts without
+those of its own fold: so a trusted document is judged as any other, by n-grams that it has not brought in.
+
+A document's score is the mean of log(trusted / raw) over its n-grams.  The threshold is the score that all
+but a share ``reject`` of the trusted documents that hold the base rules reach (to a thousandth, from a
+count of all of them).  A document passes where its score reaches the threshold and the base rules hold.
 
 Base counts: characters in words, characters of ``#*$%&|<>``, lines with a word that equal an earlier
 line, and words that lie in a three-word window found at least twice in the text.
 
 Edge cases: null text has no words and fails; a document whose n-grams cannot be scored has score 0;
-repeated rows are judged one by one (and all count as corpus); an empty table gives no rows; without
-trusted documents all scores are 0; other columns are ignored.
+repeated rows are judged one by one (and all count as corpus); a null doc_id is trusted by nobody; an empty
+table gives no rows; without trusted documents all scores are 0 and the base rules decide alone; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +26,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import SPACE_CLASS, SPACES, join_keys
+from codeloom.llm.common import SPACE_CLASS, SPACES, Scratch, join_keys
 
 BUCKETS = 1 << 16
-#: Pseudo-counts that draw the trusted multinomial towards the raw one.
-PRIOR = 20_000.0
-#: Least mean log ratio of a document that stays.
-THRESHOLD = -0.1
+FOLDS = 2
+#: Pseudo-counts that draw the trusted multinomial towards the raw one, for each trusted n-gram.
+PRIOR = 0.5
+#: Share of the trusted documents (held out, base rules held) that may fall below the threshold.
+REJECT = 0.01
+#: Steps of the score in which the threshold is set.
+STEP = 0.001
 
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -94,34 +102,60 @@ def _grams(buckets: int) -> Column:
     return F.transform(F.concat("h1", "h2"), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float) -> list[float]:
-    """log(trusted / raw) of each bucket, from one pass over all documents."""
+def _fold(doc_id: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, folds: int, prior: float) -> list[float]:
+    """log(trusted / raw) of each bucket, for one fold after the other, from one pass over all documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(True))
-    rows = join_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), trusted, ["doc_id"], "left")
-    rows = rows.select("good", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h1")).select("*", _pairs(F.col("h1")).alias("h2"))
-    counted = rows.select("good", F.explode(_grams(buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
-    raw, good = [0] * buckets, [0] * buckets
-    for r in counted.collect():  # no more rows than buckets
-        raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
-    n_raw, n_good = sum(raw), sum(good)
-    if not n_raw or not n_good:
-        return [0.0] * buckets
-    out = []
-    for a, b in zip(raw, good):
-        p = (a + 1) / (n_raw + buckets)
-        out.append(math.log((b + prior * p) / (n_good + prior) / p))
+    flagged = trusted.withColumn("good", F.lit(True))
+    rows = join_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), flagged, ["doc_id"], "left")
+    rows = rows.select(F.when(F.col("good"), _fold(F.col("doc_id"), folds)).alias("fold"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h1"))
+    rows = rows.select("fold", "h1", _pairs(F.col("h1")).alias("h2")).select("fold", F.explode(_grams(buckets)).alias("b"))
+    own = [F.count(F.when(F.col("fold") == f, 1)).alias(f"g{f}") for f in range(folds)]
+    raw, good = [0] * buckets, [[0] * buckets for _ in range(folds)]
+    for r in rows.groupBy("b").agg(F.count("*").alias("raw"), *own).collect():  # no more rows than buckets
+        raw[r["b"]] = r["raw"]
+        for f in range(folds):
+            good[f][r["b"]] = r[f"g{f}"]
+    n_raw, out = sum(raw), []
+    for f in range(folds):
+        kept = [sum(good[k][b] for k in range(folds) if k != f or folds == 1) for b in range(buckets)]
+        n_kept = sum(kept)
+        if not n_kept:
+            out += [0.0] * buckets
+            continue
+        extra = prior * n_kept
+        for a, b in zip(raw, kept):
+            p = (a + 1) / (n_raw + buckets)
+            out.append(math.log((b + extra * p) / (n_kept + extra) / p))
     return out
 
 
-def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document: base counts, base verdict, score and verdict."""
-    ratios = log_ratios(docs, trusted, buckets, prior)
+def threshold_of(scored: DataFrame, trusted: DataFrame, reject: float) -> float | None:
+    """The score that all but a share of the trusted documents reach; counted in steps, so a bounded table is collected."""
+    own = join_keys(scored.where("not base_failed").select("doc_id", "score"), trusted, ["doc_id"], "left_semi")
+    steps = own.groupBy(F.floor(F.col("score") / STEP).cast("long").alias("s")).agg(F.count("*").alias("n")).collect()
+    below, every = 0, sum(r["n"] for r in steps)
+    for r in sorted(steps):
+        below += r["n"]
+        if below > reject * every:
+            return r["s"] * STEP
+    return None
+
+
+def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scratch, buckets: int = BUCKETS, folds: int = FOLDS, prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
+    """A row for each document: base counts, base verdict, score, verdict and the threshold that it was judged by."""
+    trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ratios = log_ratios(docs, trusted, buckets, folds, prior)
     # a constant array: the optimiser folds it, and rows do not carry it
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    rows = base_counts(docs).withColumn("grams", _grams(buckets))
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+    rows = base_counts(docs).withColumn("grams", _grams(buckets)).withColumn("at", _fold(F.col("doc_id"), folds) * F.lit(buckets))
+    total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(table, F.col("at") + b))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))
     rows = rows.select("*", failed.alias("base_failed"), F.when(F.size("grams") > 0, F.round(total / F.size("grams"), 9)).otherwise(F.lit(0.0)).alias("score"))
-    kept = ~F.col("base_failed") & (F.col("score") >= threshold)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
+    rows = scratch.keep(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"))
+    threshold = F.lit(threshold_of(rows, trusted, reject)).cast("double")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score", threshold.alias("threshold"))

@@ -44,7 +44,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return ngram_rules.judge(spark, table(spark, sf_dir, "documents"), trusted)
+    return ngram_rules.judge(spark, table(spark, sf_dir, "documents"), trusted, Scratch(spark, "op6"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

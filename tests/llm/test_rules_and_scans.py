@@ -41,36 +41,69 @@ def texts(seed=4):
     return [*out, None, "", " \n\t ", "a b", "a b c a b c a b c", "é\x0bñ | 日本 #<>", "rep rep " * 20000, "\x1f x \xa0y"]
 
 
+def grams_of(text):
+    words = WORD.findall(text or "")
+    return words + list(zip(words, words[1:]))
+
+
 def test_ngram_rules(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts())] + [(3, texts()[3], "x"), (None, "null id " * 60, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words string").repartition(3)
-    trusted = spark.createDataFrame([(i,) for i in range(60) if i % 3] + [(None,), (1,)], "doc_id long")
-    got = ngram_rules.judge(spark, docs, trusted).collect()
+    ids = {i for i in range(60) if i % 3}
+    trusted = spark.createDataFrame([(i,) for i in ids] + [(None,), (1,)], "doc_id long")
+    scratch = Scratch(spark, "test")
+    got = ngram_rules.judge(spark, docs, trusted, scratch, reject=0.1).collect()
     assert len(got) == len(rows)
     want = Counter((i, *base_of(t)) for i, t, _ in rows)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
-    by = {r.doc_id: r for r in got}
-    # the score against counts of the words themselves (few enough for buckets without collisions)
-    def grams_of(text):
-        words = WORD.findall(text or "")
-        return words + list(zip(words, words[1:]))
-
-    grams = {i: grams_of(t) for i, t, _ in rows[:60]}
-    every = [g for i, t, _ in rows for g in grams_of(t)]
-    raw, good = Counter(every), Counter(g for i in grams if i % 3 for g in grams[i])
-    n_raw, n_good, size, prior = len(every), sum(good.values()), ngram_rules.BUCKETS, ngram_rules.PRIOR
-    ratio = {g: math.log((good[g] + prior * (p := (c + 1) / (n_raw + size))) / (n_good + prior) / p) for g, c in raw.items()}
-    off = [abs(by[i].score - sum(ratio[g] for g in grams[i]) / len(grams[i])) for i in range(60)]
-    assert sorted(off)[50] < 0.05  # some buckets are shared
-    assert all(r.kept == (not r.base_failed and r.score >= ngram_rules.THRESHOLD) for r in got)
-    assert by[1].score > by[0].score
+    # the score, exactly, from the buckets of the words and pairs
+    grams = {g for _, t, _ in rows for g in grams_of(t)}
+    pairs = [(g, g) if isinstance(g, str) else g for g in grams]
+    hashed = spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", f"pmod(xxhash64(a), {ngram_rules.BUCKETS}) one", f"pmod(xxhash64(xxhash64(a), xxhash64(b)), {ngram_rules.BUCKETS}) two").collect()
+    bucket = {r.a: r.one for r in hashed} | {(r.a, r.b): r.two for r in hashed}
+    fold = {r.doc_id: r.f for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 'fold'), {ngram_rules.FOLDS}) f").collect()}
+    assert set(fold.values()) == set(range(ngram_rules.FOLDS))
+    every = [bucket[g] for _, t, _ in rows for g in grams_of(t)]
+    raw, size, by = Counter(every), ngram_rules.BUCKETS, {r.doc_id: r.score for r in got}
+    for f in range(ngram_rules.FOLDS):
+        good = Counter(bucket[g] for i, t, _ in rows if i in ids and fold[i] != f for g in grams_of(t))
+        n_good, extra = sum(good.values()), ngram_rules.PRIOR * sum(good.values())
+        ratio = {g: math.log((good[g] + extra * (p := (c + 1) / (len(every) + size))) / (n_good + extra) / p) for g, c in raw.items()}
+        for i, t, _ in rows:
+            if fold[i] == f and grams_of(t):
+                assert abs(by[i] - sum(ratio[bucket[g]] for g in grams_of(t)) / len(grams_of(t))) < 1e-6
+    # the threshold: the trusted rows below it are within the share, and one step more would be too many
+    own = sorted(r.score for r in got if r.doc_id in ids and not r.base_failed)
+    threshold = got[0].threshold
+    assert sum(x < threshold for x in own) <= 0.1 * len(own) < sum(x < threshold + ngram_rules.STEP for x in own)
+    assert all(r.threshold == threshold and r.kept == (not r.base_failed and r.score >= threshold) for r in got)
+    assert by[1] > by[0]
+    scratch.drop()
+
+
+def test_held_out_documents_are_judged_like_trusted_ones(spark):
+    rng = random.Random(7)
+    good = [f"g{i}" for i in range(400)]
+    bad = [f"b{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(bad if i % 5 == 0 else good) for _ in range(80))) for i in range(600)]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 600, 3) if i % 5], "doc_id long")
+    scratch = Scratch(spark, "test")
+    kept = {r.doc_id: r.kept for r in ngram_rules.judge(spark, spark.createDataFrame(rows, "doc_id long, text string"), trusted, scratch).collect()}
+    share = lambda ids: sum(kept[i] for i in ids) / len(ids)
+    inside = [i for i in range(600) if i % 5 and i % 3 == 0]
+    outside = [i for i in range(600) if i % 5 and i % 3]
+    assert share(inside) > 0.95 and share(outside) > 0.95 and share(range(0, 600, 5)) == 0
+    scratch.drop()
 
 
 def test_ngram_rules_without_trusted_or_rows(spark):
+    scratch = Scratch(spark, "test")
     docs = spark.createDataFrame([(1, "w " * 20 + " ".join(f"x{i}" for i in range(40)))], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
-    assert [(r.score, r.kept) for r in ngram_rules.judge(spark, docs, none).collect()] == [(0.0, True)]
-    assert ngram_rules.judge(spark, docs.limit(0), none).count() == 0
+    assert [(r.score, r.kept, r.threshold) for r in ngram_rules.judge(spark, docs, none, scratch).collect()] == [(0.0, True, None)]
+    assert ngram_rules.judge(spark, docs.limit(0), none, scratch).count() == 0
+    assert ngram_rules.judge(spark, docs.limit(0), spark.createDataFrame([(1,)], "doc_id long"), scratch).count() == 0
+    scratch.drop()
 
 
 def test_license_scan(spark):
