@@ -1,10 +1,14 @@
 """Operator 10: URL filter over a sorted digest array.
 
-Rules and blocked prefixes (``host/path``) become one index file: sorted 64-bit xxhash keys, then the
-full strings and their verdicts in the same order.  Executors fetch the file once and memory-map it.
-A task hashes every candidate of its urls (each parent domain with each path length that the index
-has), finds them by one vectorised binary search, and compares the stored strings, so that equal
-digests of different strings do no harm.
+Rules and blocked prefixes (``host/path``) become index files, each for a range of 64-bit xxhash keys
+(``SHARD`` entries, so a list of any length takes the same way): the sorted keys, then the full strings and
+their verdicts in the same order.  Executors fetch the files once and memory-map them, so pages are read
+as they are probed.  A task hashes every candidate of its urls (each parent domain with each path length
+that the index has), finds them by one vectorised binary search for each file, and compares the stored
+strings, so that equal digests of different strings do no harm.
+
+The rules are the contract's.  The blocked prefixes are the caller's: ``BLOCKED`` is a short stand-in, as no
+real list comes with the library, and ``read_list`` reads one from text files.
 
 A rule fits its host and all subdomains if the url's path starts with the rule's path; the longest
 fitting rule wins, of equally long ones that with the longer host.  Where no rule fits, a fitting
@@ -12,8 +16,7 @@ blocked prefix means ``block``, else ``allow``.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict
 ``allow``; repeated rows and repeated page_ids are judged one by one; an empty table gives no rows;
-other columns are ignored.  An index of more than ``MOST_ENTRIES`` entries isn't sent to executors:
-``judge_by_join`` gives the same verdicts by a shuffled join.
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.llm.common import shared_dir
 
@@ -45,8 +47,8 @@ RULES = (
 #: The method's own list: prefixes that are blocked where no rule fits.
 BLOCKED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED = tuple(f"{site}.example.{top}/" for site in BLOCKED_SITES for top in ("com", "net", "org"))
-#: Entries of one index file at most; about 60 bytes each.
-MOST_ENTRIES = 5_000_000
+#: Entries of one index file, about 60 bytes each; entries with the same key stay together.
+SHARD = 500_000
 
 #: How an entry is stored.
 ALLOW_RULE, BLOCK_RULE, BLOCKED_PREFIX = 0, 1, 2
@@ -71,15 +73,29 @@ def entries_of(rules: Iterable[tuple[str, str]], blocked: Iterable[str]) -> list
     return [(text, kind) for (text, _), kind in out.items()]
 
 
-def pack_index(entries: list[tuple[str, int]], digest=xxhash.xxh64_intdigest) -> bytes:
-    """``b"UDX1" | u64 n | u32 n_lengths | u32 lengths | u64 key[n] | u64 offset[n+1] | u8 kind[n] | strings``."""
+def read_list(spark: SparkSession, path: str) -> list[str]:
+    """Prefixes from text files: one a line; empty lines and those that begin with ``#`` don't count."""
+    lines = spark.read.text(path).select(F.trim("value").alias("x")).where("x <> '' and not startswith(x, '#')").distinct()
+    return [r["x"] for r in lines.toLocalIterator()]
+
+
+def pack_index(entries: list[tuple[str, int]], digest=xxhash.xxh64_intdigest, shard: int = SHARD) -> list[bytes]:
+    """Files ``b"UDX1" | u64 n | u32 n_lengths | u32 lengths | u64 key[n] | u64 offset[n+1] | u8 kind[n] | strings``, by ranges of keys."""
     rows = sorted((digest(text.encode()), text.encode(), kind) for text, kind in entries)
-    lengths = sorted({len(text) - text.index("/") for text, _ in entries})
-    keys = np.array([r[0] for r in rows], "<u8")
-    offsets = np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<u8")
-    kinds = np.array([r[2] for r in rows], np.uint8)
-    head = b"UDX1" + struct.pack("<QI", len(rows), len(lengths)) + np.array(lengths, "<u4").tobytes()
-    return b"".join([head, keys.tobytes(), offsets.tobytes(), kinds.tobytes(), *(r[1] for r in rows)])
+    lengths = np.array(sorted({len(text) - text.index("/") for text, _ in entries}), "<u4")
+    out, at = [], 0
+    while at < len(rows) or not out:
+        end = min(at + shard, len(rows))
+        while end < len(rows) and rows[end][0] == rows[end - 1][0]:
+            end += 1
+        some = rows[at:end]
+        keys = np.array([r[0] for r in some], "<u8")
+        offsets = np.cumsum([0, *(len(r[1]) for r in some)]).astype("<u8")
+        kinds = np.array([r[2] for r in some], np.uint8)
+        head = b"UDX1" + struct.pack("<QI", len(some), len(lengths)) + lengths.tobytes()
+        out.append(b"".join([head, keys.tobytes(), offsets.tobytes(), kinds.tobytes(), *(r[1] for r in some)]))
+        at = end
+    return out
 
 
 class Index:
@@ -97,25 +113,38 @@ class Index:
         self.strings = at + 17 * n + 8
         self.digest = digest
 
-    def find(self, candidates: list[bytes]) -> list[tuple[int, int]]:
-        """(candidate, kind) for each entry whose string is the candidate's."""
-        if not candidates or not len(self.keys):
-            return []
-        keys = np.fromiter(map(self.digest, candidates), "<u8", len(candidates))
-        low = np.searchsorted(self.keys, keys, "left")
-        high = np.searchsorted(self.keys, keys, "right")
+    def find(self, candidates: list[bytes], keys: np.ndarray, some: np.ndarray) -> list[tuple[int, int]]:
+        """(candidate, kind) for each entry whose string is the candidate's, of ``some`` candidates."""
+        low = np.searchsorted(self.keys, keys[some], "left")
+        high = np.searchsorted(self.keys, keys[some], "right")
         out = []
-        for c in np.flatnonzero(high > low).tolist():
-            for k in range(int(low[c]), int(high[c])):
+        for j in np.flatnonzero(high > low).tolist():
+            c = int(some[j])
+            for k in range(int(low[j]), int(high[j])):
                 a, b = int(self.offsets[k]), int(self.offsets[k + 1])
                 if self.raw[self.strings + a : self.strings + b].tobytes() == candidates[c]:
                     out.append((c, int(self.kinds[k])))
         return out
 
 
+class Shards:
+    """Several indexes, by ranges of keys."""
+
+    def __init__(self, paths: Iterable[str], digest=xxhash.xxh64_intdigest) -> None:
+        self.parts = [Index(p, digest) for p in paths]
+        self.lengths = self.parts[0].lengths
+        self.lows = np.array([p.keys[0] if len(p.keys) else 0 for p in self.parts], "<u8")
+        self.digest = digest
+
+    def find(self, candidates: list[bytes]) -> list[tuple[int, int]]:
+        keys = np.fromiter(map(self.digest, candidates), "<u8", len(candidates))
+        of = np.maximum(np.searchsorted(self.lows, keys, "right") - 1, 0)
+        return [x for k in np.unique(of).tolist() for x in self.parts[k].find(candidates, keys, np.flatnonzero(of == k))]
+
+
 @functools.cache
-def _index(name: str) -> Index:
-    return Index(SparkFiles.get(name))
+def _shards(names: tuple[str, ...]) -> Shards:
+    return Shards([SparkFiles.get(name) for name in names])
 
 
 def candidates_of(host: str, path: str, lengths: list[int]) -> Iterator[str]:
@@ -129,30 +158,34 @@ def candidates_of(host: str, path: str, lengths: list[int]) -> Iterator[str]:
             return
 
 
-def publish(spark: SparkSession, packed: bytes) -> str:
-    """Puts the index in the shared folder, from where executors fetch it; returns its file name."""
-    name = f"url-index-{uuid.uuid4().hex}.bin"
-    where = f"{shared_dir(spark).rstrip('/')}/codeloom/{name}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(packed))
-    out.close()
-    spark.sparkContext.addFile(where)
-    return name
+#: Bytes handed to the JVM at once.
+WRITTEN = 1 << 22
+
+
+def publish(spark: SparkSession, packed: list[bytes]) -> tuple[str, ...]:
+    """Puts the index files in the shared folder, from where executors fetch them; returns their names."""
+    names = []
+    for raw in packed:
+        names.append(f"url-index-{uuid.uuid4().hex}.bin")
+        where = f"{shared_dir(spark).rstrip('/')}/codeloom/{names[-1]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        for at in range(0, len(raw), WRITTEN):
+            out.write(bytearray(raw[at : at + WRITTEN]))
+        out.close()
+        spark.sparkContext.addFile(where)
+    return tuple(names)
 
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, listed string"
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: Iterable[str] = BLOCKED) -> DataFrame:
+def judge(spark: SparkSession, pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: Iterable[str] = BLOCKED, shard: int = SHARD) -> DataFrame:
     """A row for each page: host, path, the rule that wins, the verdict, and the blocked prefix that fits."""
-    entries = entries_of(rules, blocked)
-    if len(entries) > MOST_ENTRIES:
-        return judge_by_join(spark, pages, entries)
-    name = publish(spark, pack_index(entries))
+    names = publish(spark, pack_index(entries_of(rules, blocked), shard=shard))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(name)
+        index = _shards(names)
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             probes: list[bytes] = []
@@ -181,22 +214,3 @@ def judge(spark: SparkSession, pages: DataFrame, rules: Iterable[tuple[str, str]
             })
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, SCHEMA)
-
-
-def judge_by_join(spark: SparkSession, pages: DataFrame, entries: list[tuple[str, int]] | DataFrame) -> DataFrame:
-    """``judge`` for lists of any size: candidates meet the entries (``entry``, ``kind``) in a shuffled join."""
-    if not isinstance(entries, DataFrame):
-        entries = spark.createDataFrame(entries, "entry string, kind int")
-    lengths = sorted(r[0] for r in entries.select(F.length("entry") - F.instr("entry", "/") + 1).distinct().collect())
-    parts = F.udf(split_url, T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType())]))
-    found = F.udf(lambda h, p: list(candidates_of(h, p, lengths)) if p else [], T.ArrayType(T.StringType()))
-    # a row of its own for each page, so that repeated page_ids stay apart
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).groupBy("page_id", "url").agg(F.count("*").alias("times"))
-    rows = rows.select("page_id", "url", "times", parts("url").alias("u"))
-    hits = rows.select("page_id", "url", F.explode(found("u.host", "u.path")).alias("entry")).join(entries, "entry")
-    rank = F.struct(F.length("entry"), F.instr("entry", "/"), "entry", "kind")
-    best = hits.groupBy("page_id", "url").agg(F.max(F.when(F.col("kind") != BLOCKED_PREFIX, rank)).alias("b"), F.max(F.when(F.col("kind") == BLOCKED_PREFIX, F.struct(F.length("entry"), "entry"))).alias("l"))
-    same = F.col("r.page_id").eqNullSafe(F.col("x.page_id")) & F.col("r.url").eqNullSafe(F.col("x.url"))
-    verdict = F.when((F.col("x.b.kind") == BLOCK_RULE) | F.col("x.b").isNull() & F.col("x.l").isNotNull(), "block").otherwise("allow")
-    out = rows.alias("r").join(best.alias("x"), same, "left").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("r.times").cast("int"))))
-    return out.select("r.page_id", "r.u.host", "r.u.path", F.col("x.b.entry").alias("rule"), verdict.alias("verdict"), F.col("x.l.entry").alias("listed"))

@@ -235,21 +235,32 @@ def judged(url):
     return host, path, best[1] if best else None, verdict
 
 
-@pytest.mark.parametrize("way", ["index", "join"])
-def test_url_filter(spark, way):
+@pytest.mark.parametrize("shard", [1, 3, 500_000])
+def test_url_filter(spark, shard):
     rows = [(i, u, "v") for i, u in enumerate(URLS)] + [(3, URLS[3], "v")]
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
-    if way == "index":
-        got = url_filter.judge(spark, pages, blocked=LISTED).collect()
-    else:
-        got = url_filter.judge_by_join(spark, pages, url_filter.entries_of(url_filter.RULES, LISTED)).collect()
+    got = url_filter.judge(spark, pages, blocked=LISTED, shard=shard).collect()
     assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter((i, *judged(u)) for i, u, _ in rows)
     assert url_filter.judge(spark, pages.limit(0)).count() == 0
 
 
-def test_equal_digests_do_no_harm(tmp_path):
+@pytest.mark.parametrize("shard", [1, 100])
+def test_equal_digests_do_no_harm(tmp_path, shard):
     entries = url_filter.entries_of([("a.com/", "block"), ("b.com/", "allow"), ("c.com/x", "block")], ["d.org"])
     digest = lambda b: len(b)
-    (path := tmp_path / "i").write_bytes(url_filter.pack_index(entries, digest))
-    index = url_filter.Index(str(path), digest)
-    assert index.find([b"a.com/", b"q.com/", b"c.com/x", b"d.org/"]) == [(0, 1), (2, 1), (3, 2)]
+    paths = []
+    for k, raw in enumerate(url_filter.pack_index(entries, digest, shard)):
+        paths.append(str(tmp_path / str(k)))
+        (tmp_path / str(k)).write_bytes(raw)
+    assert len(paths) == (2 if shard == 1 else 1)  # equal keys stay together
+    index = url_filter.Shards(paths, digest)
+    assert sorted(index.find([b"a.com/", b"q.com/", b"c.com/x", b"d.org/"])) == [(0, 1), (2, 1), (3, 2)]
+    assert index.find([]) == []
+
+
+def test_no_entries_and_lists_from_files(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(spark, pages, rules=(), blocked=()).collect()] == ["allow"]
+    (tmp_path / "list.txt").write_text("# sites\n\na.com\n b.org/x \na.com\n")
+    assert sorted(url_filter.read_list(spark, str(tmp_path / "list.txt"))) == ["a.com", "b.org/x"]
+    assert [r.verdict for r in url_filter.judge(spark, pages, rules=(), blocked=["a.com"]).collect()] == ["block"]
