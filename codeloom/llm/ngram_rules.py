@@ -106,6 +106,10 @@ def _fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(folds)).cast("int")
 
 
+def _looked_up(table: Column) -> Column:
+    return F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, folds: int, prior: float) -> list[float]:
     """log(trusted / raw) of each bucket, for one fold after the other, from one pass over all documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -149,10 +153,12 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scr
     """A row for each document: base counts, base verdict, score, verdict and the threshold that it was judged by."""
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     ratios = log_ratios(docs, trusted, buckets, folds, prior)
-    # a constant array: the optimiser folds it, and rows do not carry it
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    rows = base_counts(docs).withColumn("grams", _grams(buckets)).withColumn("at", _fold(F.col("doc_id"), folds) * F.lit(buckets))
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(table, F.col("at") + b))
+    rows = base_counts(docs).withColumn("grams", _grams(buckets))
+    total = F.lit(0.0)
+    for f in range(folds):
+        # a constant array: the optimiser folds it, and rows do not carry it; the fold is not asked for each n-gram
+        table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios[f * buckets : (f + 1) * buckets])), ",").cast("array<double>")
+        total = F.when(_fold(F.col("doc_id"), folds) == f, _looked_up(table)).otherwise(total)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))
     rows = rows.select("*", failed.alias("base_failed"), F.when(F.size("grams") > 0, F.round(total / F.size("grams"), 9)).otherwise(F.lit(0.0)).alias("score"))
     rows = scratch.keep(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"))
