@@ -5,36 +5,22 @@ Lists are joined to strings, so that both engines compare them alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.checks import config as cc
 from codeloom.checks import run as checks
 from codeloom.functions.columns import snippet
 from codeloom.operators import architecture, attribution, embed, freeform, history, impact, ingest, navigation, resolve, semantic, upserts
+from codeloom.plans import ingested  # noqa: F401  (registers its queries)
+from codeloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from codeloom.plans.projection import PROJECT, calls, graph_of, read, steps, symbols, text, with_sql
 from codeloom.sources.diff import diff_lines
 from codeloom.sources.files import extract
 from codeloom.streaming import watch
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 REF = "qualified_name, name, kind, file, start_line, end_line"
 CALLABLE = "kind IN ('function', 'method')"
 PLAIN = "(kind = 'method' OR (kind = 'function' AND NOT is_test))"
