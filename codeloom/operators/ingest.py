@@ -109,12 +109,17 @@ def update(graph: Graph, project: str, files: DataFrame, paths: list[str] | None
     return graph, UpdateSummary(*counted, errors)
 
 
+def merge_runs(calls: DataFrame) -> DataFrame:
+    """Calls that runs have seen (caller, callee, observed_count; a row for each test) as one row for each pair."""
+    return calls.groupBy("caller", "callee").agg(F.sum("observed_count").cast("bigint").alias("observed_count"))
+
+
 def augment(graph: Graph, project: str, calls: DataFrame, tests: DataFrame, lines: DataFrame) -> Graph:
     """What a test run has shown: calls (caller, callee, observed_count, by test), tests (qualified_name,
     outcome, duration) and covered lines (test, file, line)."""
     named = lambda df: df.withColumn("project", F.lit(project))
     covers = map_coverage(lines, graph.symbols(project)).cache()
-    summed = calls.groupBy("caller", "callee").agg(F.sum("observed_count").alias("observed_count"))
+    summed = merge_runs(calls)
     graph = upserts.write_tests(graph, named(tests.select("qualified_name", F.col("outcome").alias("test_outcome"), F.col("duration").alias("test_duration"))))
     graph = upserts.write_runtime_calls(graph, named(summed))
     graph = upserts.write_coverage(graph, named(covers).withColumn("seq", F.lit(0)))

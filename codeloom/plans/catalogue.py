@@ -270,7 +270,22 @@ def _cycles(df: DataFrame) -> DataFrame:
     return df.withColumn("nodes", F.array_join("nodes", ","))
 
 
-@query()
+def _call_cycles_sql() -> str:
+    """The component of the node with most ways through it by reach from there and back, the others by a closure of what is left."""
+    more = f"""edges AS (SELECT DISTINCT c.caller AS u, c.callee AS v FROM calls c JOIN symbols s ON s.qualified_name = c.caller AND s.{CALLABLE}),
+turning AS (SELECT a.u AS p FROM (SELECT u, count(*) AS n FROM edges GROUP BY u) a JOIN (SELECT v, count(*) AS n FROM edges GROUP BY v) b ON b.v = a.u ORDER BY a.n * b.n DESC, a.u LIMIT 1),
+after AS (SELECT e.v AS node FROM edges e JOIN turning ON e.u = p UNION SELECT e.v FROM after a JOIN edges e ON e.u = a.node),
+before AS (SELECT e.u AS node FROM edges e JOIN turning ON e.v = p UNION SELECT e.u FROM before b JOIN edges e ON e.v = b.node),
+large AS (SELECT node FROM after INTERSECT SELECT node FROM before),
+rest AS (SELECT u, v FROM edges WHERE u NOT IN (SELECT node FROM large) AND v NOT IN (SELECT node FROM large)),
+reach AS (SELECT u, v FROM rest UNION SELECT r.u, e.v FROM reach r JOIN rest e ON e.u = r.v),
+named AS (
+  SELECT a.u AS node, min(a.v) AS component FROM reach a JOIN reach b ON b.u = a.v AND b.v = a.u GROUP BY a.u
+  UNION ALL SELECT node, (SELECT min(node) FROM large) FROM large)"""
+    return with_sql("symbols", "calls", recursive=True, more=more) + "SELECT CAST(count(*) AS INTEGER) AS size, string_agg(node, ',' ORDER BY node) AS nodes FROM named GROUP BY component HAVING count(*) >= 2 ORDER BY size DESC, min(node) LIMIT 20"
+
+
+@query(_call_cycles_sql())
 def find_cycles_call(spark, sf_dir):
     return _cycles(architecture.find_cycles(graph_of(spark, sf_dir, "symbols", "calls"), PROJECT))
 
@@ -411,8 +426,8 @@ def hunk_attribution(spark, sf_dir):
 
 @query(with_sql("steps") + "SELECT CAST(u AS VARCHAR) AS caller, CAST(v AS VARCHAR) AS callee, CAST(sum(n) AS BIGINT) AS observed_count FROM (SELECT u, v, test, count(*) AS n FROM steps GROUP BY u, v, test) t GROUP BY u, v")
 def runtime_merge(spark, sf_dir):
-    by_test = steps(spark, sf_dir).groupBy("u", "v", "test").agg(F.count("*").alias("observed_count"))
-    return by_test.groupBy(text("u").alias("caller"), text("v").alias("callee")).agg(F.sum("observed_count").alias("observed_count"))
+    by_test = steps(spark, sf_dir).groupBy(text("u").alias("caller"), text("v").alias("callee"), "test").agg(F.count("*").alias("observed_count"))
+    return ingest.merge_runs(by_test)
 
 
 # incremental

@@ -8,11 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder below ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A folder below ``spark.checkpoint.dir``; where that is unset, a folder of our own, but on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not found.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='codeloom-')}")
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get()

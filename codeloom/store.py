@@ -45,10 +45,17 @@ class Graph:
             df.createOrReplaceTempView(name)
 
 
+class KeyViolation(ValueError):
+    """A table with a key that is null or not unique."""
+
+
 def duplicate_keys(graph: Graph, table: str) -> DataFrame:
-    """Keys that occur more than once; empty if the table is sound."""
+    """Keys that occur more than once or have a null in them; empty if the table is sound."""
     keys = list(KEYS[table])
-    return graph[table].groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    absent = F.lit(False)
+    for k in keys:
+        absent = absent | F.col(k).isNull()
+    return graph[table].groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | absent)
 
 
 class GraphStore:
@@ -73,10 +80,19 @@ class GraphStore:
         return Graph(self.spark, {t: self.spark.read.schema(ddl).parquet(f"{self.path}/v{n}/{t}") for t, ddl in TABLES.items()})
 
     def commit(self, graph: Graph) -> Graph:
-        """Writes a new version, makes it the current one and reads it back (which cuts the lineage)."""
+        """Writes a new version, makes it the current one and reads it back (which cuts the lineage).
+
+        A version in which a key occurs twice, or is null, does not become the current one.
+        """
         n = self.version() + 1
-        for t in TABLES:
+        for t, ddl in TABLES.items():
             graph[t].write.mode("overwrite").parquet(f"{self.path}/v{n}/{t}")
+            written = Graph(self.spark, {t: self.spark.read.schema(ddl).parquet(f"{self.path}/v{n}/{t}")})
+            wrong = duplicate_keys(written, t).limit(3).collect()
+            if wrong:
+                fs, path = self._fs(f"v{n}")
+                fs.delete(path, True)
+                raise KeyViolation(f"{t}: {', '.join(KEYS[t])} must be there and unique, but {[tuple(r) for r in wrong]}")
         fs, path = self._fs("CURRENT")
         out = fs.create(path, True)
         out.write(bytearray(str(n).encode()))

@@ -17,7 +17,7 @@ from codeloom.plans.paths import upstream_depths
 from codeloom.plans.scc import components_of, spread
 from codeloom.sources.files import source_files
 from codeloom.sources.history import COMMITS
-from codeloom.store import Graph, GraphStore, duplicate_keys
+from codeloom.store import Graph, GraphStore, KeyViolation, duplicate_keys
 from codeloom.tools import Tools
 from tests.graph import sample
 
@@ -66,6 +66,17 @@ def test_status_and_keys(graph, tools):
     assert set(Tools(graph, "other").graph_status().values()) == {0}
 
 
+def test_wrong_keys_are_not_stored(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    good = Graph.of(spark, files=spark.createDataFrame([(P, "a.py")], "project string, path string"))
+    store.commit(good)
+    for rows in ([(P, "b.py"), (P, "b.py")], [(P, None)]):
+        with pytest.raises(KeyViolation):
+            store.commit(Graph.of(spark, files=spark.createDataFrame(rows, "project string, path string")))
+        assert store.version() == 1 and [r.path for r in store.load()["files"].collect()] == ["a.py"]
+    store.clean()
+
+
 def test_navigation(tools):
     assert names(tools.find_symbol("ADD")) == [QN["add"], T_ADD]
     assert names(tools.find_symbol("add", exact=True)) == [QN["add"]]

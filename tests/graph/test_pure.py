@@ -109,7 +109,7 @@ def test_check_config(tmp_path):
     p.write_text('[project]\nname = "x"\n[odd]\n[checks.cycles]\nenabled = true\nmax_cycles = 3\nwrong = 1\n[checks.zzz]\n[checks.churn]\nignore = ["a*"]\n[[checks.layering.layers]]\nname = "w"\npatterns = ["w/*"]\n')
     c = config.load(p)
     assert c.cycles == config.Cycles(True, max_cycles=3) and c.churn.ignore == ("a*",) and c.layering.layers == ({"name": "w", "patterns": ["w/*"]},)
-    assert sorted(c.warnings) == ["unknown check: [checks.zzz]", "unknown key in [checks.cycles]: wrong", "unknown section: [odd]"]
+    assert sorted(x.split(":")[0] for x in c.warnings) == ["checks.cycles.wrong", "checks.zzz", "odd"]
 
 
 def test_backoff():
