@@ -145,6 +145,7 @@ def candidate_pairs(sig: np.ndarray, group: np.ndarray, band: np.ndarray, node:
     ``side``: -1 where a group is compared within itself, else the block; such rows meet the other block only.
     """
     cuts = runs(group)
+    columns = np.ascontiguousarray(np.ascontiguousarray(sig).view("<u8").reshape(len(sig), BANDS).T)
     most = int(np.diff(cuts).max()) if len(group) else 0
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
@@ -158,17 +159,22 @@ def candidate_pairs(sig: np.ndarray, group: np.ndarray, band: np.ndarray, node:
             if held:
                 a, b = np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting])
                 for k in range(0, len(a), PAIRS):
-                    got = prune(sig, band, a[k : k + PAIRS], b[k : k + PAIRS], limits)
+                    got = prune(sig, columns, band, a[k : k + PAIRS], b[k : k + PAIRS], limits)
                     if len(got[0]):
                         yield got
             waiting, held = [], 0
 
 
-def prune(sig: np.ndarray, band: np.ndarray, a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose first shared band is this one and that stay likely enough after each step."""
-    four = np.ascontiguousarray(sig).view("<u8").reshape(len(sig), BANDS)
-    first = (four[a] == four[b]).argmax(1) == band[a]
-    a, b = a[first], b[first]
+def prune(sig: np.ndarray, columns: np.ndarray, band: np.ndarray, a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose first shared band is this one and that stay likely enough after each step; ``columns``: the values of each band."""
+    # near copies share most bands, so nearly all of their pairs go with the first earlier band
+    for k in range(int(band[a].max()) if len(a) else 0):
+        new = (columns[k][a] != columns[k][b]) | (band[a] <= k)
+        a, b = a[new], b[new]
+        if not len(a):
+            break
+    own = columns[band[a], a] == columns[band[a], b]
+    a, b = a[own], b[own]
     matches, done = np.zeros(len(a), np.int64), 0
     for n, least in limits:
         if not len(a):
