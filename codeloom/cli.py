@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 import time
 from pathlib import Path
 
@@ -12,12 +13,14 @@ from codeloom.checks import run as checks
 from codeloom.operators import ingest, navigation
 from codeloom.operators.embed import HashingProvider, embed_project
 from codeloom.operators.resolve import TsPaths
+from codeloom.server import Server
 from codeloom.session import spark_session
 from codeloom.settings import Settings, load
 from codeloom.sources import history, runtime
 from codeloom.sources.files import accepted, gitignore_lines, source_files
 from codeloom.store import GraphStore
 from codeloom.streaming import watch
+from codeloom.streaming.observer import Observer
 from codeloom.tools import Tools
 
 
@@ -31,11 +34,13 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("root")
         if name == "watch":
             c.add_argument("events", help="folder of JSON lines: path, kind, ts")
+            c.add_argument("--observe", action="store_true", help="also look for changes of the tree and drop them there")
             c.add_argument("--embed", action="store_true")
             c.add_argument("--once", action="store_true")
             c.add_argument("--ignore", action="append", default=[])
         if name == "update":
             c.add_argument("paths", nargs="*")
+    sub.add_parser("mcp", help="answer tool calls over the standard streams until they end")
     sub.add_parser("status", help="counts")
     sub.add_parser("clean", help="delete the graph")
     c = sub.add_parser("embed", help="embed symbol sources")
@@ -108,6 +113,8 @@ def main(argv: list[str] | None = None, settings: Settings | None = None) -> int
         code = report.exit_code(args.strict)
         print(checks.as_json(report, code) if args.json else checks.as_text(report))
         return code
+    elif args.command == "mcp":
+        Server(store, project, HashingProvider(settings.embedding_dimensions)).serve(sys.stdin, sys.stdout)
     elif args.command == "tool":
         tools = Tools(graph, project, HashingProvider(settings.embedding_dimensions))
         print(json.dumps(getattr(tools, args.name)(**json.loads(args.arguments)), indent=2, default=str))
@@ -128,13 +135,18 @@ def _watch(args, settings: Settings, project: str, store: GraphStore) -> int:
         store.commit(embed_project(store.load(), project, HashingProvider(settings.embedding_dimensions, settings.embedding_batch)))
 
     events = watch.event_stream(spark, args.events)
-    events = events.where(accepted(events["path"], tuple(args.ignore), gitignore))
+    events = events.where(accepted(events["path"], tuple(args.ignore), gitignore) | (events["kind"] == watch.TICK))
     handle = watch.sink(update, embed if args.embed else None)
     how = {"availableNow": True} if args.once else {"processingTime": "500 milliseconds"}
+    observer = Observer(args.root, args.events, tick=max(1.0, settings.debounce_ms / 500)) if args.observe else None
     feed = watch.start(events, handle, f"{store.path}/feed", f"{settings.debounce_ms} milliseconds", **how)
+    stop = observer.start() if observer else None
     try:
         while feed.isActive:
             time.sleep(0.5)
     except KeyboardInterrupt:
         feed.stop()
+    finally:
+        if stop:
+            stop.set()
     return 0

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 log = logging.getLogger(__name__)
 
 EVENTS = "path string, kind string, ts timestamp"
+#: Kind of events that only move the watermark, so that the last batch closes though nothing follows it.
+TICK = "tick"
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,20 +48,28 @@ def outcome(kinds: Column) -> Column:
 
 def debounced(events: DataFrame, window: str = "300 milliseconds", by: tuple[str, ...] = ()) -> DataFrame:
     """Batches: session windows over the events (of each ``by``, or of all), with their events in order."""
-    # a stream's sessions need a key that is no constant: the empty start of the path stands for all
-    keys = [F.session_window("ts", window).alias("session"), *([F.col(c) for c in by] or [F.substring("path", 1, 0).alias("feed")])]
+    # ticks have sessions of their own, so they prolong no batch
+    feed = F.when(F.col("kind") == TICK, TICK).otherwise("").alias("feed")
+    keys = [F.session_window("ts", window).alias("session"), *([F.col(c) for c in by] or [feed])]
     return events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", "path", "kind"))).alias("events"))
 
 
 def coalesced(batches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row for each path of each batch whose events leave something: path and outcome.
 
-    Needs no state of its own: a batch carries all its events.
+    Needs no state of its own: a batch carries all its events.  They are sorted by path once, and each
+    path's are a slice of them.
     """
-    paths = F.array_distinct(F.transform("events", lambda e: e["path"]))
-    each = batches.select("session", *keys, "events", F.explode(paths).alias("path"))
-    kinds = F.transform(F.filter("events", lambda e: e["path"] == F.col("path")), lambda e: e["kind"])
-    return each.select("session", *keys, "path", outcome(kinds).alias("outcome")).where("outcome is not null")
+    by_path = F.sort_array(F.transform("events", lambda e: F.struct(e["path"].alias("path"), e["ts"].alias("ts"), e["kind"].alias("kind"))))
+    first = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | ~F.element_at("sorted", i)["path"].eqNullSafe(F.element_at("sorted", F.greatest(i - 1, F.lit(1)))["path"]))
+
+    def amounts(start: Column, k: Column) -> Column:
+        after = F.coalesce(F.try_element_at("first", (k + 2).cast("int")), F.size("sorted") + 1)
+        return F.struct(F.element_at("sorted", start)["path"].alias("path"), outcome(F.transform(F.slice("sorted", start, after - start), lambda e: e["kind"])).alias("outcome"))
+
+    sliced = batches.select("session", *keys, by_path.alias("sorted")).withColumn("first", first)
+    each = sliced.select("session", *keys, F.transform("first", amounts).alias("paths")).select("session", *keys, F.explode("paths").alias("of"))
+    return each.select("session", *keys, "of.path", "of.outcome").where("outcome is not null")
 
 
 def changes(events: DataFrame, window: str = "300 milliseconds", late: str = "1 second") -> DataFrame:

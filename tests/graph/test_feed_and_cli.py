@@ -1,15 +1,24 @@
 from __future__ import annotations
 
+import io
 import json
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom import cli
+from codeloom.operators import ingest
+from codeloom.operators.resolve import TsPaths
+from codeloom.server import Server
 from codeloom.settings import Settings
-from codeloom.sources.files import accepted
+from codeloom.sources.files import accepted, source_files
+from codeloom.store import GraphStore
 from codeloom.streaming import watch
+from codeloom.streaming.observer import Observer
+from codeloom.tools import Tools
 from tests.graph import sample
 
 
@@ -36,6 +45,90 @@ def test_debounce(spark):
     assert len({r["session"]["start"] for r in got}) == 2
 
 
+def test_coalesced_paths_against_the_state_machine(spark):
+    start, pick = datetime(2024, 1, 1), random.Random(5)
+    kinds = ["created", "modified", "deleted", "odd", watch.TICK]
+    rows = [(pick.choice(["a", "b", "c", "d", None]), pick.choice(kinds), start + timedelta(milliseconds=pick.randrange(400) + 2000 * pick.randrange(40))) for _ in range(400)]
+    batches = watch.debounced(spark.createDataFrame(rows, watch.EVENTS), "300 milliseconds")
+    each = batches.select("session", F.explode("events").alias("e")).groupBy("session", "e.path").agg(F.sort_array(F.collect_list(F.struct("e.ts", "e.kind"))).alias("of"))
+    want = each.select("session", "path", watch.outcome(F.transform("of", lambda e: e["kind"])).alias("outcome")).where("outcome is not null")
+    got = watch.coalesced(batches)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 40
+
+
+def test_observer(tmp_path):
+    root, folder = tmp_path / "src", tmp_path / "events"
+    (root / "node_modules").mkdir(parents=True)
+    (root / "pkg").mkdir()
+    for name in ("a.py", "pkg/b.ts", "node_modules/c.js", "readme.md"):
+        (root / name).write_text("1")
+    seen = Observer(str(root), str(folder), tick=1000)
+    assert seen.step() == [] and not list(folder.iterdir())
+    (root / "a.py").rename(root / "pkg" / "d.py")
+    (root / "pkg" / "b.ts").write_text("22")
+    (root / "new.py").write_text("")
+    (root / "node_modules" / "c.js").unlink()
+    (root / "readme.md").write_text("2")
+    want = [("a.py", "deleted"), ("new.py", "created"), ("pkg/b.ts", "modified"), ("pkg/d.py", "created")]
+    assert seen.step() == want and seen.step() == []
+    seen.tick = 0
+    seen.step()
+    lines = [[json.loads(x) for x in f.read_text().splitlines()] for f in sorted(folder.iterdir())]
+    assert [[(e["path"], e["kind"]) for e in f] for f in lines] == [want, [("", watch.TICK)]]
+
+
+def test_ticks_close_the_last_batch(spark, tmp_path):
+    root, folder = tmp_path / "src", tmp_path / "events"
+    root.mkdir()
+    seen: list[list[str]] = []
+    observer = Observer(str(root), str(folder), every=0.05, tick=0.7)
+    feed = watch.start(watch.event_stream(spark, str(folder)), watch.sink(lambda paths: seen.append(paths) or 0), str(tmp_path / "check"), processingTime="200 milliseconds")
+    stop = observer.start()
+    try:
+        (root / "a.py").write_text("x = 1")
+        end = time.monotonic() + 60
+        while not seen and time.monotonic() < end:
+            time.sleep(0.2)
+    finally:
+        stop.set()
+        feed.stop()
+    assert seen == [["a.py"]]
+
+
+def test_tool_server(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    server = Server(store, "demo")
+
+    def ask(method, /, **params):
+        return server.handle(json.dumps({"jsonrpc": "2.0", "id": 7, "method": method, "params": params}))
+
+    def call(name, **arguments):
+        found = ask("tools/call", name=name, arguments=arguments)["result"]
+        text = found["content"][0]["text"]
+        return found["isError"], json.loads(text) if text[:1] in "[{n" else text
+
+    assert ask("initialize")["result"]["capabilities"] == {"tools": {}} and ask("ping") == {"jsonrpc": "2.0", "id": 7, "result": {}}
+    listed = {t["name"]: t["inputSchema"] for t in ask("tools/list")["result"]["tools"]}
+    assert tuple(listed) == Tools.NAMES and listed["find_callers"]["required"] == ["qualified_name"]
+    assert listed["find_symbol"]["properties"] == {"query": {"type": "string"}, "exact": {"type": "boolean", "default": False}, "limit": {"type": "integer", "default": 50}}
+    assert listed["imports"]["properties"]["limit"]["default"] == 100 and listed["untested_symbols"]["properties"]["file"] == {"type": ["string", "null"]}
+    assert call("find_symbol", query="add")[0], "no such project yet"
+    root = sample.write(tmp_path / "src", sample.PYTHON)
+    store.commit(ingest.build(store.load(), "demo", source_files(spark, root), root, TsPaths.parse(None)))
+    failed, rows = call("find_symbol", query="add", exact=True)
+    assert not failed and [r["name"] for r in rows] == ["add"]
+    assert call("run_sql", query="drop table calls") == (True, {"error": "forbidden_keyword", "detail": "forbidden_keyword: " + call("run_sql", query="drop table calls")[1]["detail"].split(": ", 1)[1]})
+    assert not call("run_sql", query="SELECT count(*) AS n FROM symbols")[0]
+    for bad in ({"name": "nosuch"}, {"name": "find_callers", "arguments": {}}, {"name": "hubs", "arguments": {"x": 1}}, {"name": "hubs", "arguments": [1]}, {}):
+        assert ask("tools/call", **bad)["error"]["code"] == -32602
+    assert ask("nosuch")["error"]["code"] == -32601
+    assert server.handle("{")["error"]["code"] == -32700 and server.handle("[]")["error"]["code"] == -32600
+    assert server.handle('{"jsonrpc": "2.0", "method": "notifications/initialized"}') is None
+    out = io.StringIO()
+    server.serve(['{"jsonrpc": "2.0", "id": 1, "method": "ping"}\n', "\n", '{"jsonrpc": "2.0", "method": "x"}\n'], out)
+    assert out.getvalue() == '{"jsonrpc": "2.0", "id": 1, "result": {}}\n'
+
+
 def test_stream(spark, tmp_path):
     start = datetime(2024, 1, 1)
     folder = tmp_path / "events"

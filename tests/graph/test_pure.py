@@ -144,3 +144,18 @@ def test_git_history(tmp_path):
     assert sorted(p for p, *_ in got[0][7]) == ["a.py", "c.py"]
     assert [c[6] for c in history.commits(str(tmp_path), got[2][1])] == ["moved", "second"]
     assert len(history.commits(str(tmp_path), most=1)) == 1
+
+
+def test_git_history_of_odd_lines(tmp_path):
+    def git(*args):
+        subprocess.run(["git", "-c", "user.name=Ann", "-c", "user.email=ann@x", "-c", "init.defaultBranch=main", *args], cwd=tmp_path, check=True, capture_output=True)
+
+    git("init")
+    (tmp_path / "a.py").write_bytes(b"x = 1\n++ b/z.py\ndiff --git a b\n@@ -1 +9,9 @@\n\x1ehead\x0c@@ -1 +7 @@\r\nlast")
+    git("add", "."), git("commit", "-m", "odd \x0c subject")
+    (tmp_path / "a.py").write_bytes(b"x = 1\nlast")
+    git("commit", "-am", "less")
+    got = history.commits(str(tmp_path))
+    assert [c[7] for c in got] == [[("a.py", 0, 4, [])], [("a.py", 6, 0, [(1, 6)])]]
+    with pytest.raises(subprocess.CalledProcessError):
+        history.commits(str(tmp_path), "nosuchcommit")
