@@ -50,9 +50,10 @@ def test_coalesced_paths_against_the_state_machine(spark):
     kinds = ["created", "modified", "deleted", "odd", watch.TICK]
     rows = [(pick.choice(["a", "b", "c", "d", None]), pick.choice(kinds), start + timedelta(milliseconds=pick.randrange(400) + 2000 * pick.randrange(40))) for _ in range(400)]
     batches = watch.debounced(spark.createDataFrame(rows, watch.EVENTS), "300 milliseconds")
-    each = batches.select("session", F.explode("events").alias("e")).groupBy("session", "e.path").agg(F.sort_array(F.collect_list(F.struct("e.ts", "e.kind"))).alias("of"))
-    want = each.select("session", "path", watch.outcome(F.transform("of", lambda e: e["kind"])).alias("outcome")).where("outcome is not null")
-    got = watch.coalesced(batches)
+    # grouping by the session itself would join sessions that overlap
+    each = batches.select("session.*", F.explode("events").alias("e")).groupBy("start", "end", "e.path").agg(F.sort_array(F.collect_list(F.struct("e.ts", "e.kind"))).alias("of"))
+    want = each.select("start", "end", "path", watch.outcome(F.transform("of", lambda e: e["kind"])).alias("outcome")).where("outcome is not null")
+    got = watch.coalesced(batches).select("session.*", "path", "outcome")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 40
 
 
