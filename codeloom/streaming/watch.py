@@ -27,25 +27,6 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).json(folder)
 
 
-def outcome(kinds: Column) -> Column:
-    """What ordered kinds of one path come to: ``modified``, ``deleted``, or null where nothing is left.
-
-    The state is one of none, modified, deleted, and created (modified, and new in this batch).
-    """
-    created = F.lit("created")
-
-    def step(state: Column, kind: Column) -> Column:
-        return (
-            F.when(kind == "created", created)
-            .when(kind == "modified", F.when(state == created, created).otherwise("modified"))
-            .when(kind == "deleted", F.when(state == created, "none").otherwise("deleted"))
-            .otherwise(state)
-        )
-
-    last = F.aggregate(kinds, F.lit("none"), step)
-    return F.when(last.isin("modified", "created"), "modified").when(last == "deleted", "deleted")
-
-
 def debounced(events: DataFrame, window: str = "300 milliseconds", by: tuple[str, ...] = ()) -> DataFrame:
     """Batches: session windows over the events (of each ``by``, or of all), with their events in order."""
     # ticks have sessions of their own, so they prolong no batch
@@ -57,19 +38,26 @@ def debounced(events: DataFrame, window: str = "300 milliseconds", by: tuple[str
 def coalesced(batches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row for each path of each batch whose events leave something: path and outcome.
 
-    Needs no state of its own: a batch carries all its events.  They are sorted by path once, and each
-    path's are a slice of them.
+    Needs no state of its own: a batch carries all its events.  They are sorted by path once, and each is
+    compared with its neighbours only, so the work is linear in them.  The last event of a path says what
+    becomes of it; a deletion cancels where the path's last event before it, changes aside, made the file.
     """
-    by_path = F.sort_array(F.transform("events", lambda e: F.struct(e["path"].alias("path"), e["ts"].alias("ts"), e["kind"].alias("kind"))))
-    first = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | ~F.element_at("sorted", i)["path"].eqNullSafe(F.element_at("sorted", F.greatest(i - 1, F.lit(1)))["path"]))
-
-    def amounts(start: Column, k: Column) -> Column:
-        after = F.coalesce(F.try_element_at("first", (k + 2).cast("int")), F.size("sorted") + 1)
-        return F.struct(F.element_at("sorted", start)["path"].alias("path"), outcome(F.transform(F.slice("sorted", start, after - start), lambda e: e["kind"])).alias("outcome"))
-
-    sliced = batches.select("session", *keys, by_path.alias("sorted")).withColumn("first", first)
-    each = sliced.select("session", *keys, F.transform("first", amounts).alias("paths")).select("session", *keys, F.explode("paths").alias("of"))
-    return each.select("session", *keys, "of.path", "of.outcome").where("outcome is not null")
+    known = F.filter("events", lambda e: e["kind"].isin("created", "modified", "deleted"))
+    by_path = F.sort_array(F.transform(known, lambda e: F.struct(e["path"].alias("path"), e["ts"].alias("ts"), e["kind"].alias("kind"))))
+
+    def marked(e: Column, i: Column) -> Column:
+        after = F.get("sorted", i + 1)
+        return F.struct(e["path"].alias("path"), e["kind"].alias("kind"), (after.isNull() | ~after["path"].eqNullSafe(e["path"])).alias("last"))
+
+    def stays(e: Column, i: Column) -> Column:
+        before = F.get("marked", i - 1)
+        cancels = (e["kind"] == "deleted") & before.isNotNull() & before["path"].eqNullSafe(e["path"]) & (before["kind"] == "created")
+        return e["last"] & ~F.coalesce(cancels, F.lit(False))
+
+    ordered = batches.select("session", *keys, by_path.alias("sorted"))
+    ends = ordered.select("session", *keys, F.filter(F.transform("sorted", marked), lambda e: (e["kind"] != "modified") | e["last"]).alias("marked"))
+    each = ends.select("session", *keys, F.filter("marked", stays).alias("left")).select("session", *keys, F.explode("left").alias("of"))
+    return each.select("session", *keys, "of.path", F.when(F.col("of.kind") == "deleted", "deleted").otherwise("modified").alias("outcome"))
 
 
 def changes(events: DataFrame, window: str = "300 milliseconds", late: str = "1 second") -> DataFrame:

@@ -6,7 +6,6 @@ import random
 import time
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from codeloom import cli
@@ -22,15 +21,27 @@ from codeloom.tools import Tools
 from tests.graph import sample
 
 
-@pytest.mark.parametrize(
-    ("kinds", "want"),
-    [
-        ("modified modified", "modified"), ("created modified", "modified"), ("created deleted", None), ("modified deleted", "deleted"), ("deleted created", "modified"), ("deleted created deleted", None),
-        ("created modified deleted", None), ("created deleted modified deleted", "deleted"), ("deleted modified", "modified"), ("deleted", "deleted"), ("created deleted created", "modified"),
-    ],
-)
-def test_outcomes(spark, kinds, want):
-    assert spark.createDataFrame([(kinds.split(),)], "k array<string>").select(watch.outcome(F.col("k"))).first()[0] == want
+def outcome(kinds):
+    """The state machine of one path's events, one by one."""
+    state = None
+    for kind in kinds:
+        if kind == "created":
+            state = "new"
+        elif kind == "modified":
+            state = state if state == "new" else "modified"
+        elif kind == "deleted":
+            state = None if state == "new" else "deleted"
+    return "modified" if state == "new" else state
+
+
+def test_outcomes(spark):
+    cases = {
+        "modified modified": "modified", "created modified": "modified", "created deleted": None, "modified deleted": "deleted", "deleted created": "modified", "deleted created deleted": None,
+        "created modified deleted": None, "created deleted modified deleted": "deleted", "deleted modified": "modified", "deleted": "deleted", "created deleted created": "modified", "deleted deleted": "deleted",
+    }
+    rows = [r for path in cases for r in events(datetime(2024, 1, 1), *[(path, kind, ms) for ms, kind in enumerate(path.split())])]
+    got = {r["path"]: r["outcome"] for r in watch.coalesced(watch.debounced(spark.createDataFrame(rows, watch.EVENTS))).collect()}
+    assert {path: got.get(path) for path in cases} == cases == {path: outcome(path.split()) for path in cases}
 
 
 def events(start, *rows):
@@ -50,11 +61,13 @@ def test_coalesced_paths_against_the_state_machine(spark):
     kinds = ["created", "modified", "deleted", "odd", watch.TICK]
     rows = [(pick.choice(["a", "b", "c", "d", None]), pick.choice(kinds), start + timedelta(milliseconds=pick.randrange(400) + 2000 * pick.randrange(40))) for _ in range(400)]
     batches = watch.debounced(spark.createDataFrame(rows, watch.EVENTS), "300 milliseconds")
-    # grouping by the session itself would join sessions that overlap
-    each = batches.select("session.*", F.explode("events").alias("e")).groupBy("start", "end", "e.path").agg(F.sort_array(F.collect_list(F.struct("e.ts", "e.kind"))).alias("of"))
-    want = each.select("start", "end", "path", watch.outcome(F.transform("of", lambda e: e["kind"])).alias("outcome")).where("outcome is not null")
-    got = watch.coalesced(batches).select("session.*", "path", "outcome")
-    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 40
+    want = []
+    for b in batches.collect():
+        for path in {e["path"] for e in b["events"]}:
+            if left := outcome([e["kind"] for e in b["events"] if e["path"] == path]):
+                want.append((*b["session"], path, left))
+    got = [tuple(r) for r in watch.coalesced(batches).select("session.*", "path", "outcome").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 40
 
 
 def test_observer(tmp_path):
