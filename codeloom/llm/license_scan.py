@@ -82,6 +82,8 @@ TEMPLATES = (
 RARE = 3
 #: Share of a template's IDF that its aligned words must have.
 LEAST_COVERAGE = 0.6
+#: Digits of a score: sums of IDF in another order differ beyond them.
+SCORE_DIGITS = 9
 
 #: Rows of a task of the second pass, and tasks at most.
 ROWS_A_TASK, MOST_TASKS = 10_000, 20_000
@@ -209,4 +211,4 @@ def scan(spark: SparkSession, docs: DataFrame, scratch: Scratch, templates=TEMPL
 
     # few bytes a row, but work for each: dealt by rows
     hits = hits.repartition(max(1, min(MOST_TASKS, n_docs // ROWS_A_TASK)))
-    return hits.mapInArrow(match, SCHEMA)
+    return hits.mapInArrow(match, SCHEMA).withColumn("score", F.round("score", SCORE_DIGITS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeloom.llm.license_scan import BASE, LEAST_COVERAGE, SCORE_DIGITS, TEMPLATES, Templates
 from codeloom.llm.near_dup import THRESHOLD as JACCARD
 from codeloom.llm.embedding_dedup import THRESHOLD as COSINE
 from codeloom.llm.url_filter import BLOCKED, RULES
@@ -82,4 +83,47 @@ LEFT JOIN fits r ON r.page_id = u.page_id AND r.k = 1 AND r.verdict <> 'listed'
 LEFT JOIN fits l ON l.page_id = u.page_id AND l.k = 1 AND l.verdict = 'listed'
 """
 
-ORACLES: dict[str, str] = {"op4_embedding_dedup": OP4, "op9_jaccard_join": OP9, "op10_url_filter": OP10}
+#: Without the index: every template word of every file votes for a template and a relative position.
+OP8 = f"""
+WITH worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+),
+placed AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM worded),
+phrases AS (SELECT string_split(phrase, ' ') AS words, label FROM (VALUES {_values(BASE.items())}) AS t(phrase, label)),
+base AS (
+  SELECT p.r, p.p, b.label FROM placed p JOIN phrases b ON p.word = b.words[1] JOIN worded d ON d.r = p.r
+  WHERE d.w[p.p + 1 : p.p + len(b.words)] = b.words
+),
+lines AS (
+  SELECT CAST(t AS INT) AS t, label, string_split(line, ' ') AS words, CAST(string_split(must, ' ') AS INT[]) AS must
+  FROM (VALUES {_values((t, TEMPLATES[t][0], TEMPLATES[t][1], " ".join(map(str, sorted(set(m))))) for t, m in enumerate(Templates().mandatory))}) AS t(t, label, line, must)
+),
+wanted AS (SELECT t, must, unnest(words) AS word, unnest(range(0, len(words))) AS q FROM lines),
+seen AS (SELECT word, count(DISTINCT r) AS n FROM placed WHERE word IN (SELECT word FROM wanted) GROUP BY word),
+weighed AS (
+  SELECT w.t, w.q, w.word, list_contains(w.must, w.q) AS needed,
+    greatest(0.0, coalesce(ln((a.docs + 1) / (s.n + 0.5)), ln(1.0 + a.docs))) AS idf
+  FROM wanted w CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS docs FROM worded) a LEFT JOIN seen s ON s.word = w.word
+),
+whole AS (SELECT t, sum(idf) AS idf, count(*) AS n, count(*) FILTER (needed) AS needed FROM weighed GROUP BY t),
+aligned AS (
+  SELECT p.r, x.t, p.p - x.q AS shift, sum(x.idf) AS idf, count(*) AS n, count(*) FILTER (x.needed) AS needed
+  FROM placed p JOIN weighed x ON x.word = p.word GROUP BY p.r, x.t, p.p - x.q
+),
+fits AS (
+  SELECT a.r, l.label, CASE WHEN w.idf > 0 THEN a.idf / w.idf ELSE a.n / w.n END AS share
+  FROM aligned a JOIN whole w ON w.t = a.t JOIN lines l ON l.t = a.t WHERE a.needed = w.needed
+),
+found AS (SELECT r, label, least(share, 1.0) AS share FROM fits WHERE share >= {LEAST_COVERAGE}),
+places AS (SELECT r, count(*) AS n, min(p) AS lo, max(p) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
+every AS (SELECT r, label FROM base UNION SELECT r, label FROM found),
+labelled AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY r),
+scored AS (SELECT r, max(share) AS score FROM found GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(b.labels, '') AS base_labels,
+  coalesce(l.labels, '') AS labels, round(coalesce(s.score, 0.0), {SCORE_DIGITS}) AS score
+FROM worded d LEFT JOIN places b ON b.r = d.r LEFT JOIN labelled l ON l.r = d.r LEFT JOIN scored s ON s.r = d.r
+"""
+
+ORACLES: dict[str, str] = {"op4_embedding_dedup": OP4, "op8_license_scan": OP8, "op9_jaccard_join": OP9, "op10_url_filter": OP10}

@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codeloom.llm import license_scan, ngram_rules, url_filter
+from codeloom.llm import license_scan, ngram_rules, oracles, url_filter
 from codeloom.llm.common import Scratch
 
 SPACE = " \t\n\x0b\f\r"
@@ -106,6 +108,18 @@ def test_ngram_rules_without_trusted_or_rows(spark):
     scratch.drop()
 
 
+def by_sql(docs):
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in docs.select("doc_id", "text").collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string())])))
+    return con.sql(oracles.OP8)
+
+
+def same_as_sql(got, docs):
+    """The operator's rows are those of the SQL, which has no index and tries every template at every place."""
+    want = by_sql(docs)
+    assert Counter(tuple(r[c] for c in want.columns) for r in got) == Counter(want.fetchall())
+
+
 def test_license_scan(spark):
     rows = [
         (1, "Some text.\nLicensed under the Apache License, Version 2.0. More"),
@@ -125,6 +139,7 @@ def test_license_scan(spark):
     scratch = Scratch(spark, "test")
     got = license_scan.scan(spark, docs, scratch).collect()
     assert len(got) == len(rows)
+    same_as_sql(got, docs)
 
     def base(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -150,7 +165,10 @@ def test_license_scan_of_several_notices(spark):
     rows += [(100 + i, f"{vocabulary} xx {words} xx") for i, (_, words, _) in enumerate(license_scan.TEMPLATES)]
     rows += [(1000 + i, "the use of any software is free and in the public version 2 3 4 0") for i in range(40)]
     scratch = Scratch(spark, "test")
-    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(spark, spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = license_scan.scan(spark, docs, scratch).collect()
+    same_as_sql(scanned, docs)
+    got = {r.doc_id: set(r.labels.split(",")) for r in scanned}
     base = set(license_scan.BASE.values()) - set(line)
     assert all(set(mix) <= got[i] and (got[i] - base - {"mit"}) <= set(mix) for i, mix in enumerate(mixes))
     assert all(label in got[100 + i] for i, (label, _, _) in enumerate(license_scan.TEMPLATES))
