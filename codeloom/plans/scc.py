@@ -8,14 +8,13 @@ that reach their colour's root backwards make a component, until no node is left
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.plans.scratch import shared_folder
+from codeloom.plans.scratch import keep
 
 #: Edges that one task may hold; about 200 bytes each.
 EDGES_IN_A_TASK = 1_000_000
@@ -75,26 +74,20 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
 
 
-def _keep(spark: SparkSession, df: DataFrame) -> DataFrame:
-    where = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def _reached(spark: SparkSession, seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, color) reached from the seeds along edges (u, v) within nodes of one color (given by ``edges.color``)."""
-    reached = _keep(spark, seeds)
+    reached = keep(spark, seeds)
     front = reached
     while front.head(1):
         step = front.join(edges, (F.col("node") == F.col("u")) & (front["color"] == edges["color"])).select(F.col("v").alias("node"), edges["color"])
-        front = _keep(spark, step.distinct().join(reached, ["node", "color"], "left_anti"))
-        reached = _keep(spark, reached.unionByName(front))
+        front = keep(spark, step.distinct().join(reached, ["node", "color"], "left_anti"))
+        reached = keep(spark, reached.unionByName(front))
     return reached
 
 
 def spread(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Components by colours; for edge sets of any size."""
-    edges = _keep(spark, edges.select("u", "v"))
+    edges = keep(spark, edges.select("u", "v"))
     done: list[DataFrame] = []
     while True:
         # nodes that lack an edge in or out are components of their own
@@ -102,31 +95,31 @@ def spread(spark: SparkSession, edges: DataFrame) -> DataFrame:
             nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
             inner = edges.where("u <> v")
             core = inner.select(F.col("u").alias("node")).distinct().join(inner.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
-            alone = _keep(spark, nodes.join(core, "node", "left_anti"))
+            alone = keep(spark, nodes.join(core, "node", "left_anti"))
             if not alone.head(1):
                 break
             done.append(alone.select("node", F.col("node").alias("component")))
-            core = _keep(spark, nodes.join(alone, "node", "left_anti"))
-            edges = _keep(spark, edges.join(core.withColumnRenamed("node", "u"), "u", "left_semi").join(core.withColumnRenamed("node", "v"), "v", "left_semi"))
+            core = keep(spark, nodes.join(alone, "node", "left_anti"))
+            edges = keep(spark, edges.join(core.withColumnRenamed("node", "u"), "u", "left_semi").join(core.withColumnRenamed("node", "v"), "v", "left_semi"))
         if not edges.head(1):
             break
-        color = _keep(spark, nodes.select("node", F.col("node").alias("color")))
+        color = keep(spark, nodes.select("node", F.col("node").alias("color")))
         while True:
             offered = edges.join(color.select(F.col("node").alias("u"), "color"), "u").groupBy(F.col("v").alias("node")).agg(F.min("color").alias("offer"))
-            new = _keep(spark, color.join(offered, "node", "left").select("node", F.least("color", F.coalesce("offer", "color")).alias("color"), (F.col("offer") < F.col("color")).alias("fell")))
+            new = keep(spark, color.join(offered, "node", "left").select("node", F.least("color", F.coalesce("offer", "color")).alias("color"), (F.col("offer") < F.col("color")).alias("fell")))
             color = new.select("node", "color")
             if not new.where("fell").head(1):
                 break
         named = edges.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")), "v")
-        backward = _keep(spark, named.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("cu").alias("color")))
+        backward = keep(spark, named.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("cu").alias("color")))
         part = _reached(spark, color.where("node = color"), backward)
         done.append(part.select("node", F.col("color").alias("component")))
-        left = _keep(spark, color.select("node").join(part.select("node"), "node", "left_anti"))
-        edges = _keep(spark, edges.join(left.withColumnRenamed("node", "u"), "u", "left_semi").join(left.withColumnRenamed("node", "v"), "v", "left_semi"))
+        left = keep(spark, color.select("node").join(part.select("node"), "node", "left_anti"))
+        edges = keep(spark, edges.join(left.withColumnRenamed("node", "u"), "u", "left_semi").join(left.withColumnRenamed("node", "v"), "v", "left_semi"))
         if left.head(1):
             # nodes that have lost all their edges
             linked = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-            done.append(_keep(spark, left.join(linked, "node", "left_anti")).select("node", F.col("node").alias("component")))
+            done.append(keep(spark, left.join(linked, "node", "left_anti")).select("node", F.col("node").alias("component")))
     out = done[0] if done else edges.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
     for more in done[1:]:
         out = out.unionByName(more)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,3 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get()
     return f"{where.rstrip('/')}/codeloom-graph"
+
+
+def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, which cuts its lineage."""
+    where = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -13,7 +14,7 @@ from codeloom.checks import run as checks
 from codeloom.operators import architecture, freeform, ingest, semantic, upserts
 from codeloom.operators.embed import DimensionMismatch, HashingProvider, embed_project
 from codeloom.operators.resolve import TsPaths
-from codeloom.plans.paths import upstream_depths
+from codeloom.plans.paths import upstream_depths, upstream_paths
 from codeloom.plans.scc import components_of, spread
 from codeloom.sources.files import source_files
 from codeloom.sources.history import COMMITS
@@ -261,6 +262,41 @@ def test_depths(spark):
     assert {r["node"]: r["depth"] for r in got.collect()} == {"b": 1, "c": 1, "d": 2}
 
 
+def walked(edges, seeds, depth):
+    """Distinct (via, node, depth, flags) of all paths without a repeated edge, one path at a time."""
+    out = set()
+
+    def walk(via, at, used, flags):
+        for edge in edges:
+            if edge[1] == at and edge[:2] not in used:
+                found = (edge[2:], *flags)
+                out.add((via, edge[0], len(found), found))
+                if len(found) < depth:
+                    walk(via, edge[0], {*used, edge[:2]}, found)
+
+    for via in seeds:
+        walk(via, via, set(), ())
+    return out
+
+
+def test_paths_against_walks(spark):
+    pick = random.Random(3)
+    pairs = {(pick.choice("abcdefgh"), pick.choice("abcdefgh")) for _ in range(16)} | {("a", "a"), ("x", "a"), ("y", "x"), ("z", "y")}
+    flagged = [(u, v, pick.random() < 0.5, pick.random() < 0.5) for u, v in sorted(pairs)]
+    edges = spark.createDataFrame(flagged, "caller string, callee string, static boolean, runtime boolean")
+    for depth in (1, 2, 4):
+        got = upstream_paths(edges, spark.createDataFrame([("a",), ("e",)], "via string"), depth).distinct().collect()
+        want = walked(flagged, "ae", depth)
+        assert len(got) == len(want) and {(r["via"], r["node"], r["depth"], tuple(map(tuple, r["edges"]))) for r in got} == want
+
+
+def test_paths_without_circles_do_not_multiply(spark):
+    # six pairs of ways one after another: 64 paths, and one row for each node and depth
+    rows = [e for k in range(6) for m in "lr" for e in ((f"{m}{k}", f"n{k}", True, False), (f"n{k + 1}", f"{m}{k}", True, False))]
+    edges = spark.createDataFrame(rows, "caller string, callee string, static boolean, runtime boolean")
+    assert upstream_paths(edges, spark.createDataFrame([("n0",)], "via string"), 12).count() == 18
+
+
 def test_store(spark, tmp_path):
     store = GraphStore(spark, f"file://{tmp_path}/s")
     assert store.version() == 0 and store.load()["files"].count() == 0
