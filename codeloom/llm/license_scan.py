@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, text_chunks
+from codeloom.llm.common import Scratch, own_batches, small_batches, text_chunks
 
 # Fixed values of the contract: phrases and labels.
 BASE = {
@@ -177,7 +177,9 @@ def scan(spark: SparkSession, docs: DataFrame, scratch: Scratch, templates=TEMPL
             })
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = scratch.keep(docs.mapInArrow(find, "doc_id long, n_words long, places array<int>, words array<int>, starts array<long>, base_labels array<string>"))
+    with own_batches(spark):
+        small_batches(spark)  # whole texts; the second pass has few bytes a row
+        hits = scratch.keep(docs.mapInArrow(find, "doc_id long, n_words long, places array<int>, words array<int>, starts array<long>, base_labels array<string>"))
 
     counted = hits.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     n_docs = hits.count()

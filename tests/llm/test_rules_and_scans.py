@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from codeloom.llm import license_scan, ngram_rules, oracles, url_filter
-from codeloom.llm.common import Scratch
+from codeloom.llm.common import BATCH_ROWS, TEXT_ROWS, Scratch
 
 SPACE = " \t\n\x0b\f\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,6 +157,21 @@ def test_license_scan(spark):
     scratch.drop()
 
 
+def test_license_scan_takes_few_texts_at_once(spark, monkeypatch):
+    def chunks(batches, text):
+        for batch in batches:
+            assert batch.num_rows <= TEXT_ROWS
+            yield batch
+
+    monkeypatch.setattr(license_scan, "text_chunks", chunks)
+    before = spark.conf.get(BATCH_ROWS)
+    scratch = Scratch(spark, "test")
+    docs = spark.range(0, 3 * TEXT_ROWS + 1, 1, 1).selectExpr("id AS doc_id", "'the mit license' AS text")
+    assert license_scan.scan(spark, docs, scratch).where("labels = 'mit'").count() == 3 * TEXT_ROWS + 1
+    assert spark.conf.get(BATCH_ROWS) == before
+    scratch.drop()
+
+
 def test_license_scan_of_several_notices(spark):
     line = {label: words for label, words, _ in license_scan.TEMPLATES}
     mixes = [("mit-notice", "mit-grant"), ("mit-grant", "mit-notice"), ("mit-grant", "mpl-2.0"), ("mpl-2.0", "mit-grant"), ("apache-2.0", "bsd-3-clause"), ("bsd-3-clause", "apache-2.0"), tuple(line)]
