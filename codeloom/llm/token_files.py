@@ -27,6 +27,9 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,11 +44,13 @@ from codeloom.llm.common import Scratch, frugal, text_chunks
 
 #: Values of one block at most, unless one document has more.
 BLOCK_TOKENS = 1 << 20
-#: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
+#: Distinct words whose ids a worker remembers; when the memory is full, the half that was met first stays.
 WORDS_KEPT = 1_500_000
 WORDS_A_TASK = 150_000
 #: Punctuation that the pre-tokenizer parts from a letter or digit before it.
 PUNCTUATION = ".,;:!?|*%$#&"
+#: Letters beyond ASCII that every version of Unicode takes for letters.
+LATIN = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
 
 
 def default_tokenizer() -> str:
@@ -62,10 +67,13 @@ class Encoder:
     concatenation of its words' ids.  Any other text (runs of spaces, tabs, edges, special strings) goes
     to the library as a whole.  A word keeps the newline that precedes it, and else stands for itself after
     a space.
+
+    Of words of letters, that pre-tokenizer makes one token each: a space and the word, its bytes as the model's
+    characters.  The library gets them so, and is spared its search for tokens, which takes longer than the ids.
     """
 
     def __init__(self, path: str, end_id: int, words_kept: int = WORDS_KEPT, special_as_text: bool = False) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = special_as_text
@@ -79,13 +87,21 @@ class Encoder:
         self.tails: dict[str, bytes] = {}
         # ids whose first byte is a space or a newline: in joined words they begin a word
         self.begins = np.array([(self.lib.id_to_token(i) or "x")[0] in "ĠĊ" for i in range(size)])
+        self.parted = None
+        rules = json.loads(self.lib.to_str())
+        first = rules["pre_tokenizer"] or {}
+        if rules["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space"):
+            self.latin = str.maketrans({c: self.lib.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LATIN})
+            self.parted = Tokenizer.from_file(path)
+            self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _learn(self, words: set[str]) -> None:
         if len(self.memory) + len(words) > self.words_kept:
-            self.memory.clear()
+            # words that were met first are the frequent ones
+            self.memory = dict(itertools.islice(self.memory.items(), self.words_kept // 2))
         memory, tails = self.memory, self.tails
         if len(" ".join(words).split()) != len(words):
             # a word that other white space begins or ends depends on its neighbours, and stays unknown
@@ -95,11 +111,22 @@ class Encoder:
         stems = [(w, s if s and s[-1].isalnum() else w) for w, s in stems]
         plain.update(s for _, s in stems)
         new = plain.difference(memory)
-        for head, some in (("\n", begun := [s for s in new if s[0] == "\n"]), (" ", list(new.difference(begun)))):
+        begun = [s for s in new if s[0] == "\n"]
+        rest = new.difference(begun)
+        ask = [(self.lib, "\n", begun, "".join(begun))]
+        if self.parted:
+            letters = [s for s in rest if s.isalpha()]
+            english = [s for s in letters if s.isascii()]
+            latin = [s for s in letters if not s.isascii() and known_letters(s)]
+            ask.append((self.parted, " ", english, "Ġ" + " Ġ".join(english)))
+            ask.append((self.parted, " ", latin, "Ġ" + " Ġ".join(latin).translate(self.latin)))
+            rest.difference_update(english, latin)
+        some = list(rest)
+        ask.append((self.lib, " ", some, " " + " ".join(some)))
+        for lib, head, some, text in ask:
             if not some:
                 continue
-            text = "".join(some) if head == "\n" else " " + " ".join(some)
-            ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             cuts = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.dtype.itemsize).tolist()
             if len(cuts) != len(some) + 1:  # a tokenizer with other rules
                 memory.update((s, self._whole(s if head == "\n" else " " + s)) for s in some)
@@ -127,17 +154,22 @@ class Encoder:
         split: list[tuple[list[str], list, list[int]] | None] = []
         unknown: set[str] = set()
         for text in texts:
-            words = f"\n{text}".replace("\n", " \n").split(" ") if text else []
-            if not text or words[1] == "\n" or "" in words[2:] or "\n" in words or any(x in text for x in special):
-                split.append(None)  # neighbouring, leading or trailing spaces; special strings
+            if not text or any(x in text for x in special):
+                split.append(None)
                 continue
+            words = f"\n{text}".replace("\n", " \n").split(" ")
             del words[0]
             parts = list(map(known, words))
             if gaps := places_of_none(parts):
-                unknown.update([words[i] for i in gaps])
+                new = {words[i] for i in gaps}
+                if "" in new or "\n" in new:  # never known: neighbouring, leading or trailing spaces
+                    split.append(None)
+                    continue
+                unknown |= new
             split.append((words, parts, gaps))
         if unknown:
             self._learn(unknown)
+            known = self.memory.get
         out, skip, end = [], len(self.newline), self.end
         for text, got in zip(texts, split):
             if got is not None:
@@ -152,6 +184,9 @@ class Encoder:
         return out
 
 
+known_letters = re.compile(f"[A-Za-z{''.join(LATIN)}]+").fullmatch
+
+
 def places_of_none(parts: list) -> list[int]:
     out, i = [], -1
     try:

@@ -48,6 +48,27 @@ def test_small_memory_gives_the_same(library):
         assert np.frombuffer(got, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_frequent_words_stay_when_the_memory_is_full(library):
+    own = tf.Encoder(tf.default_tokenizer(), 2, words_kept=40)
+    often = [f"often{i}" for i in range(20)]
+    asked = []
+    learn = own._learn
+    own._learn = lambda words: (asked.append(set(words)), learn(words))
+    for k in range(8):
+        text = " ".join([*often, *(f"rare{k}x{i}" for i in range(15 if k else 0))])
+        assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert len(asked) == 8 and not any(set(often) & words for words in asked[1:])
+    assert len(own.memory) <= 40
+
+
+def test_words_of_all_letters(library):
+    own = tf.Encoder(tf.default_tokenizer(), 2)
+    texts = [" ".join(f"x ab{chr(c)}d {chr(c)} {chr(c)}e, \n{chr(c)}Z{chr(c)}" for c in range(at, at + 16)) for at in range(0x20, 0x3400, 16)]
+    texts += [" ".join(chr(c) * 3 + "q" for c in range(at, at + 16)) for at in range(0x1D400, 0x1D800, 16)]
+    for text, got in zip(texts, own.encode(texts)):
+        assert np.frombuffer(got, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_files_against_brute_force(spark, library):
     rows = [(i * 3, t, "extra") for i, t in enumerate(TEXTS)] + [(7, None, "x"), (7, None, "x"), (None, "null id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(5)
