@@ -163,6 +163,22 @@ def own_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_ROWS, now)
 
 
+#: Rows that Spark's Parquet reader decodes at once where rows carry whole texts.
+READ_ROWS = 500
+
+
+@contextlib.contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """For queries that run inside: ``READ_ROWS`` rows at once, unless fewer are set; Spark's 4,096 make large arrays in the executor's heap."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    now = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(now), READ_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, now)
+
+
 #: Bytes of text of which a vectorised pass makes arrays at once (some eighty bytes for each).
 PASS_BYTES = 1 << 18
 

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import embedding_dedup, license_scan, mixing, near_dup, ngram_rules, oracles, packing, quality_classifier, substring_dedup, token_files, url_filter
-from codeloom.llm.common import Scratch, own_batches, small_batches, table
+from codeloom.llm.common import Scratch, own_batches, small_batches, small_reads, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op1")
     path = scratch.place()
-    with own_batches(spark):
+    with own_batches(spark), small_reads(spark):
         small_batches(spark)
         token_files.write_token_files(spark, table(spark, sf_dir, "documents"), path, scratch)
     return token_files.read_token_files(spark, path)

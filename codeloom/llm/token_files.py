@@ -45,10 +45,18 @@ from codeloom.llm.common import Scratch, frugal, text_chunks
 #: Values of one block at most, unless one document has more.
 BLOCK_TOKENS = 1 << 20
 #: Distinct words whose ids a worker remembers; when the memory is full, the half that was met first stays.
-WORDS_KEPT = 1_500_000
+#: Beyond 699,050 words Python doubles the dictionary's table.
+WORDS_KEPT = 690_000
 WORDS_A_TASK = 150_000
+#: Words that the library is asked for at a time, as it holds far more for each than its ids.
+ASKED = 10_000
+#: Bytes of the ids of one pass of the encoder at most.
+MOST_BYTES = 1 << 30
 #: Punctuation that the pre-tokenizer parts from a letter or digit before it.
 PUNCTUATION = ".,;:!?|*%$#&"
+#: Kinds of bytes; punctuation is cut off after ASCII letters and digits.
+SPACE, LETTER, POINT = 1, 2, 3
+KINDS = bytes(SPACE if c == " " else POINT if c in PUNCTUATION else LETTER if c.isascii() and c.isalnum() else 0 for c in map(chr, range(256)))
 #: Letters beyond ASCII that every version of Unicode takes for letters.
 LATIN = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
 
@@ -63,10 +71,10 @@ class Encoder:
     """Byte-level BPE through the tokenizers library, each distinct word once for a worker.
 
     The pre-tokenizer never joins characters across a single space or newline that stands between
-    two other characters, nor a letter with the punctuation after it, so such a text is the
+    two other characters, nor a letter or digit with the punctuation after it, so such a text is the
     concatenation of its words' ids.  Any other text (runs of spaces, tabs, edges, special strings) goes
-    to the library as a whole.  A word keeps the newline that precedes it, and else stands for itself after
-    a space.
+    to the library as a whole.  In the memory a word keeps the newline that precedes it, and else stands for
+    itself after a space; what punctuation begins within a word has a space before it.
 
     Of words of letters, that pre-tokenizer makes one token each: a space and the word, its bytes as the model's
     characters.  The library gets them so, and is spared its search for tokens, which takes longer than the ids.
@@ -84,7 +92,6 @@ class Encoder:
         self.newline = self._whole("\n")
         self.words_kept = words_kept
         self.memory: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         # ids whose first byte is a space or a newline: in joined words they begin a word
         self.begins = np.array([(self.lib.id_to_token(i) or "x")[0] in "ĠĊ" for i in range(size)])
         self.parted = None
@@ -92,7 +99,7 @@ class Encoder:
         first = rules["pre_tokenizer"] or {}
         if rules["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space"):
             self.latin = str.maketrans({c: self.lib.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LATIN})
-            self.parted = Tokenizer.from_file(path)
+            self.parted = Tokenizer(self.lib.model)
             self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
 
     def _whole(self, text: str) -> bytes:
@@ -102,17 +109,20 @@ class Encoder:
         if len(self.memory) + len(words) > self.words_kept:
             # words that were met first are the frequent ones
             self.memory = dict(itertools.islice(self.memory.items(), self.words_kept // 2))
-        memory, tails = self.memory, self.tails
-        if len(" ".join(words).split()) != len(words):
+        memory = self.memory
+        bare = [w[1:] if w[0] in " \n" else w for w in words]
+        if " ".join(bare).split() != bare:
             # a word that other white space begins or ends depends on its neighbours, and stays unknown
-            words = {w for w in words if not w[-1].isspace() and not w[1:2].isspace() and (w[0] == "\n" or not w[0].isspace())}
-        plain = {w for w in words if w[-1].isalnum()}
-        stems = [(w, w.rstrip(PUNCTUATION)) for w in words.difference(plain)]
-        stems = [(w, s if s and s[-1].isalnum() else w) for w, s in stems]
-        plain.update(s for _, s in stems)
-        new = plain.difference(memory)
-        begun = [s for s in new if s[0] == "\n"]
-        rest = new.difference(begun)
+            words = {w for w in words if not w[-1].isspace() and not w[1:2].isspace() and (w[0] in " \n" or not w[0].isspace())}
+        memory.update((w, self._whole(w[1:])) for w in words if w[0] == " ")
+        rest = [w for w in words if w[0] != " "]
+        for at in range(0, len(rest), ASKED):
+            self._ask(rest[at : at + ASKED])
+
+    def _ask(self, words: list[str]) -> None:
+        memory = self.memory
+        begun = [s for s in words if s[0] == "\n"]
+        rest = set(words).difference(begun)
         ask = [(self.lib, "\n", begun, "".join(begun))]
         if self.parted:
             letters = [s for s in rest if s.isalpha()]
@@ -133,12 +143,6 @@ class Encoder:
                 continue
             raw = ids.tobytes()
             memory.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-        for w, s in stems:
-            if w not in memory:
-                tail = w[len(s) :]
-                if tail not in tails:
-                    tails[tail] = self._whole(tail)
-                memory[w] = memory[s] + tails[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         collecting = gc.isenabled()
@@ -150,39 +154,74 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        known, special = self.memory.get, self.special
-        split: list[tuple[list[str], list, list[int]] | None] = []
-        unknown: set[str] = set()
-        for text in texts:
-            if not text or any(x in text for x in special):
-                split.append(None)
-                continue
-            words = f"\n{text}".replace("\n", " \n").split(" ")
-            del words[0]
-            parts = list(map(known, words))
-            if gaps := places_of_none(parts):
-                new = {words[i] for i in gaps}
-                if "" in new or "\n" in new:  # never known: neighbouring, leading or trailing spaces
-                    split.append(None)
-                    continue
-                unknown |= new
-            split.append((words, parts, gaps))
-        if unknown:
-            self._learn(unknown)
-            known = self.memory.get
-        out, skip, end = [], len(self.newline), self.end
-        for text, got in zip(texts, split):
-            if got is not None:
-                words, parts, gaps = got
-                for i in gaps:
-                    parts[i] = known(words[i])
-                if not gaps or None not in parts:
-                    parts.append(end)
-                    out.append(b"".join(parts)[skip:])
+        """Each distinct word of the texts is looked up once; Arrow finds them and puts their ids in the words' places."""
+        out: list[bytes] = [b""] * len(texts)
+        pieces, places = [], []
+        for k, text in enumerate(texts):
+            if text and not any(x in text for x in self.special):
+                piece = f"\n{text}".replace("\n", " \n")
+                # neighbouring, leading or trailing spaces and newlines: such words are never known
+                if "  " not in piece and " \n " not in piece and not piece.endswith((" ", " \n")):
+                    pieces.append(piece.encode())
+                    places.append(k)
                     continue
-            out.append((self._whole(text) if text else b"") + end)
+            out[k] = self._alone(text)
+        # Arrow's places are of 32 bits: a pass has no more bytes of ids than MOST_BYTES, as an id stands for a byte or more
+        at, most = 0, MOST_BYTES // max(2, self.dtype.itemsize)
+        while at < len(pieces):
+            end, size = at + 1, len(pieces[at])
+            while end < len(pieces) and size + len(pieces[end]) <= most:
+                size += len(pieces[end])
+                end += 1
+            if size > most:
+                out[places[at]] = self._alone(texts[places[at]])
+            else:
+                self._look_up(texts, pieces[at:end], places[at:end], out)
+            at = end
         return out
 
+    def _alone(self, text: str | None) -> bytes:
+        return (self._whole(text) if text else b"") + self.end
+
+    def _look_up(self, texts: list[str | None], pieces: list[bytes], places: list[int], out: list[bytes]) -> None:
+        raw = b"".join(pieces)
+        kinds = np.frombuffer(raw.translate(KINDS), np.uint8)
+        # a word reaches from its space, or its punctuation after a letter or digit, to the next one
+        begin = kinds == SPACE
+        begin[1:] |= (kinds[1:] == POINT) & (kinds[:-1] == LETTER)
+        starts = np.flatnonzero(begin)
+        cuts = np.append(starts, len(raw)).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+        bounds, joined = (np.frombuffer(x, kind) for x, kind in zip(words.dictionary.buffers()[1:], (np.int32, np.uint8)))
+        spaced = joined[bounds[: len(words.dictionary)]] == 0x20
+        distinct, order = [], np.empty(len(spaced), np.int32)
+        for own, head in ((spaced, ""), (~spaced, " ")):
+            some = words.dictionary.filter(pa.array(own))
+            order[own] = np.arange(len(distinct), len(distinct) + len(some))
+            if head:
+                distinct += [head + x.decode() for x in some.to_pylist()]
+            elif len(some):
+                ends, joined = some.buffers()[1:]
+                distinct = joined[: np.frombuffer(ends, np.int32)[len(some)]].to_pybytes().decode().split(" ")
+                del distinct[0]
+        parts = list(map(self.memory.get, distinct))
+        gaps = places_of_none(parts)
+        if gaps:
+            self._learn({distinct[i] for i in gaps})
+            for i in gaps:
+                parts[i] = self.memory.get(distinct[i])
+        indices = order[words.indices.to_numpy()]
+        first = np.searchsorted(starts, np.cumsum([0, *map(len, pieces)])).tolist()
+        unknown = np.array([x is None for x in parts])[indices] if gaps and None in parts else None
+        coded = pa.array(parts, pa.binary()).take(pa.array(indices))
+        ends = np.frombuffer(coded.buffers()[1], np.int32, len(coded) + 1)[first].tolist()
+        ids, skip = memoryview(coded.buffers()[2] or b""), len(self.newline)
+        for k, a, b, i, j in zip(places, ends, ends[1:], first, first[1:]):
+            if unknown is not None and unknown[i:j].any():
+                out[k] = self._alone(texts[k])
+            else:
+                out[k] = b"".join((ids[a + skip : b], self.end))
+
 
 known_letters = re.compile(f"[A-Za-z{''.join(LATIN)}]+").fullmatch
 
@@ -205,20 +244,20 @@ def encoder(path: str, end_id: int, words_kept: int = WORDS_KEPT, special_as_tex
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True, words_kept: int = WORDS_KEPT, special_as_text: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens`` (with the end id) and, if asked for, ``ids`` as little-endian numbers.
 
-    A worker holds about 200 bytes for each of ``words_kept`` words from then on; with 0 a task keeps
+    A worker holds about 150 bytes for each of ``words_kept`` words from then on; with 0 a task keeps
     ``WORDS_A_TASK`` words and nothing stays.
     """
     schema = "doc_id long, n_tokens long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, end_id, words_kept, special_as_text) if words_kept else Encoder(tokenizer, end_id, WORDS_A_TASK, special_as_text)
-        for part in text_chunks(batches, "text", 1 << (20 if words_kept else 18)):
+        for part in text_chunks(batches, "text", 1 << (21 if words_kept else 18)):
             coded = own.encode(part.column(1).to_pylist())
             n = pa.array([len(x) // own.dtype.itemsize for x in coded], pa.int64())
             cols = {"doc_id": part.column(0), "n_tokens": n} | ({"ids": pa.array(coded, pa.binary())} if keep_ids else {})
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run if words_kept else frugal(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), schema)
 
 
 def vocab_size(tokenizer: str) -> int:

@@ -61,6 +61,47 @@ def test_frequent_words_stay_when_the_memory_is_full(library):
     assert len(own.memory) <= 40
 
 
+class Counted(dict):
+    asked = 0
+
+    def get(self, word):
+        self.asked += 1
+        return super().get(word)
+
+
+def test_a_repeated_word_is_looked_up_once(library):
+    own = tf.Encoder(tf.default_tokenizer(), 2)
+    texts = ["one two, three. two,\n" * 300 + f"end{k}" for k in range(20)]
+    own.encode(texts)
+    own.memory = Counted(own.memory)
+    for text, got in zip(texts, own.encode(texts)):
+        assert np.frombuffer(got, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert 0 < own.memory.asked < 50  # 24,000 words
+
+
+@given(st.lists(st.text(alphabet="ab1 é×ß٣.,*%|&'!-…«\n\t\x85\u2028\u00a0 ", max_size=30), max_size=8))
+@settings(deadline=None, max_examples=500)
+def test_punctuation_within_words(library, texts):
+    own = tf.encoder(tf.default_tokenizer(), 2)
+    texts = [*texts, " ".join(texts)]
+    for _ in range(2):  # new words and remembered ones
+        for text, got in zip(texts, own.encode(texts)):
+            assert np.frombuffer(got, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_other_white_space_at_a_words_edge(library):
+    for text in ("\xa0\x851", "a \u2028b", "a\t b", "a,\x85 b", "x\n\xa0y"):
+        own = tf.Encoder(tf.default_tokenizer(), 2)
+        assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_long_passes_are_parted(library, monkeypatch):
+    monkeypatch.setattr(tf, "MOST_BYTES", 64)
+    own = tf.Encoder(tf.default_tokenizer(), 2)
+    for text, got in zip(TEXTS * 2, own.encode(TEXTS * 2)):
+        assert np.frombuffer(got, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_words_of_all_letters(library):
     own = tf.Encoder(tf.default_tokenizer(), 2)
     texts = [" ".join(f"x ab{chr(c)}d {chr(c)} {chr(c)}e, \n{chr(c)}Z{chr(c)}" for c in range(at, at + 16)) for at in range(0x20, 0x3400, 16)]
