@@ -25,8 +25,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
-    sizes = token_files.tokenize(table(spark, sf_dir, "documents"), token_files.default_tokenizer(), keep_ids=False)
-    return packing.pack_documents(scratch.keep(sizes))
+    with own_batches(spark), small_reads(spark):
+        small_batches(spark)
+        sizes = scratch.keep(token_files.tokenize(table(spark, sf_dir, "documents"), token_files.default_tokenizer(), keep_ids=False))
+    return packing.pack_documents(sizes)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, packing
-from codeloom.llm.common import Scratch
+from codeloom.llm import mixing, packing, queries, token_files
+from codeloom.llm.common import BATCH_ROWS, Scratch
 
 
 def check_bins(rows, lengths=packing.LENGTHS):
@@ -130,6 +131,28 @@ def test_pack_beats_one_length():
     assert sum(sizes) / sum(dict(zip(bins.tolist(), final.tolist())).values()) > 0.97
 
 
+def test_query_reads_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    reader = "spark.sql.parquet.columnarReaderBatchSize"
+    before = [spark.conf.get(k) for k in (BATCH_ROWS, reader)]
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def rows_of_batches(docs, *args, **kwargs):
+        seen.append(int(spark.conf.get(reader)))
+
+        def run(batches):
+            for batch in batches:
+                yield batch.set_column(1, "n_tokens", pa.array([batch.num_rows] * batch.num_rows, pa.int64()))
+
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens")).mapInArrow(run, "doc_id long, n_tokens long")
+
+    monkeypatch.setattr(token_files, "tokenize", rows_of_batches)
+    got = queries.op2_packing(spark, str(tmp_path)).collect()
+    assert len(got) == 3000 and max(r.n_tokens for r in got) <= 1000
+    assert seen[0] <= 500
+    assert [spark.conf.get(k) for k in (BATCH_ROWS, reader)] == before
+
+
 def test_pack_documents(spark):
     rows = [(i, (i * 37) % 900 + 1, "x") for i in range(500)] + [(700, 30_000, "x"), (701, 8192, "x"), (702, 8193, "x"), (703, 0, "x"), (704, None, "x"), (None, 5, "x"), (1, 38, "x"), (1, 38, "x")]
     sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long, bin_id string")

@@ -89,6 +89,23 @@ def test_punctuation_within_words(library, texts):
             assert np.frombuffer(got, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_the_library_is_asked_for_few_words_at_a_time():
+    own = tf.Encoder(tf.default_tokenizer(), 2)
+    asked = []
+
+    class Library:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **kwargs):
+            asked.append(max(len(x.split()) for x in texts))
+            return self.library.encode_batch_fast(texts, **kwargs)
+
+    own.lib, own.parted = Library(own.lib), Library(own.parted)
+    own.encode([" ".join(f"{'abc'[i % 3] * (i % 7)}x{i:x}" for i in range(45_000))])
+    assert sum(asked) >= 45_000 and max(asked) <= tf.ASKED
+
+
 def test_other_white_space_at_a_words_edge(library):
     for text in ("\xa0\x851", "a \u2028b", "a\t b", "a,\x85 b", "x\n\xa0y"):
         own = tf.Encoder(tf.default_tokenizer(), 2)
