@@ -5,6 +5,7 @@ view sees language, source, length and layout (lines, capitals, symbols, repeate
 logistic regression.  In every round each view names the unlabelled documents that it is surest of,
 in the classes' proportion, and the other view learns from them as well.  Both are then calibrated on
 labelled documents that were held out, and a document's score joins the calibrated log odds.
+The driver holds the sample's features once, as half floats, and one matrix of the rows that a view learns from.
 
 The fit uses a bounded sample, drawn by hash of the id over the whole table: ``LABELLED`` labelled documents
 and a pool of ``POOL`` documents without a label, both parameters.  Every document is scored, on its whole
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import PASS_BYTES, flat_bytes, frugal, join_keys, text_chunks
+from codeloom.llm.common import PASS_BYTES, flat_bytes, frugal, give_back, join_keys, text_chunks
 from codeloom.llm.near_dup import word_hashes
 
 #: Bounds of the sample that the classifiers are fitted on.
@@ -116,7 +117,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate
 
 
 def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (x @ w[:-1] + w[-1]).astype(np.float64)
+    return (x.astype(np.float32, copy=False) @ w[:-1] + w[-1]).astype(np.float64)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -153,14 +154,17 @@ class Model:
 
 
 def co_train(grams: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_grams: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 0 or 1 for each labelled row.  Every fourth labelled row is held out for calibration."""
+    """y: 0 or 1 for each labelled row.  Every fourth labelled row is held out for calibration.
+
+    Features may be half floats: they become floats as they are learnt from, a view at a time.
+    """
     if (y > 0).sum() < 2 or (y == 0).sum() < 2:
         return Model()
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[1::4]] = True
-    own = (grams[~held], meta[~held])
-    pools = (pool_grams, pool_meta)
+    learnt = np.flatnonzero(~held)
+    own, pools = (grams, meta), (pool_grams, pool_meta)
     labels = y[~held].astype(float)
     free = np.ones(len(pool_grams), bool)
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has been given by the other
@@ -169,10 +173,13 @@ def co_train(grams: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_grams: np.
         weights = []
         for view in (0, 1):
             extra = np.array(list(given[view]), np.int64)
-            x = np.concatenate([own[view], pools[view][extra]]) if len(extra) else own[view]
+            x = np.empty((len(learnt) + len(extra), own[view].shape[1]), np.float32)
+            x[: len(learnt)] = own[view][learnt]
+            x[len(learnt) :] = pools[view][extra]
             t = np.concatenate([labels, np.array(list(given[view].values()))]) if len(extra) else labels
             w = np.concatenate([np.ones(len(labels)), np.full(len(extra), 0.5)])
             weights.append(fit(x, t, w))
+            del x  # before the next one is made
         if r == rounds or not free.any():
             break
         share = labels.mean()
@@ -193,6 +200,20 @@ def co_train(grams: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_grams: np.
     return Model(weights[0], weights[1], cal, prior)
 
 
+def _matrix(column: pa.ChunkedArray, dtype: type, place: np.ndarray) -> np.ndarray:
+    """Byte strings of one length as rows, the i-th at ``place[i]``; copied once, straight from Arrow's memory."""
+    out, at = np.empty((0, 0), dtype), 0
+    for chunk in column.cast(pa.large_binary()).chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+            rows = np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype).reshape(len(chunk), -1)
+            if not at:
+                out = np.empty((len(column), rows.shape[1]), dtype)
+            out[place[at : at + len(chunk)]] = rows
+            at += len(chunk)
+    return out
+
+
 def _column(batch: pa.RecordBatch, name: str) -> list:
     at = batch.schema.get_field_index(name)
     return batch.column(at).to_pylist() if at >= 0 else [None] * batch.num_rows
@@ -243,13 +264,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
     if not got.num_rows:
         return Model()
     at = np.array(got.column("doc_id").to_pylist(), np.int64)
-    grams = np.frombuffer(b"".join(got.column("grams").to_pylist()), np.float16).reshape(len(at), -1).astype(np.float32)
-    meta = np.frombuffer(b"".join(got.column("meta").to_pylist()), np.float32).reshape(len(at), -1)
-    order = np.argsort(at)
-    at, grams, meta = at[order], grams[order], meta[order]
     y = np.array([y_of.get(i, -1) for i in at.tolist()])
-    own = y >= 0
-    return co_train(grams[own], meta[own], y[own], grams[~own], meta[~own])
+    order = np.lexsort((at, y < 0))  # labelled rows, then the pool, each by doc_id
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    grams, meta = _matrix(got.column("grams"), np.float16, place), _matrix(got.column("meta"), np.float32, place)
+    del got
+    give_back()
+    n = int((y >= 0).sum())
+    model = co_train(grams[:n], meta[:n], y[order[:n]], grams[n:], meta[n:])
+    del grams, meta
+    give_back()
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

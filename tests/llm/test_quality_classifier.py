@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from codeloom.llm import quality_classifier as qc
 
@@ -63,3 +66,34 @@ def test_calibration_is_monotone_and_near_the_shares():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * z + 1)))).astype(int)
     a, b = qc.calibrate(z * 5, y)
     assert abs(a * 5 - 2) < 0.3 and abs(b - 1) < 0.3
+
+
+def test_driver_holds_a_full_sample_once(spark):
+    # as many documents as the sample may hold; the driver held seven times their half floats at once
+    text = F.when(F.col("id") % 6 == 0, F.lit("*** AB# ")).otherwise(F.lit("the on er "))
+    docs = spark.range(qc.LABELLED + qc.POOL).select(F.col("id").alias("doc_id"), F.concat(F.repeat(text, 9), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    labels = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "if(doc_id % 6 = 0, 0, 1) as quality")
+    tracemalloc.start()
+    try:
+        model = qc.train(spark, docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.text is not None
+    half = (qc.LABELLED + qc.POOL) * qc.GRAMS * 2
+    assert peak < 3 * half
+
+
+def test_half_floats_learn_the_same():
+    rng = np.random.default_rng(1)
+    y = (np.arange(200) % 5 > 0).astype(int)
+    grams, meta = ((rng.random((500, n)) + 0.2 * np.resize(y, 500)[:, None]).astype(np.float16) for n in (64, 20))
+    a, b = (qc.co_train(*(x.astype(kind) for x in (grams[:200], meta[:200])), y, *(x.astype(kind) for x in (grams[200:], meta[200:]))) for kind in (np.float16, np.float32))
+    assert (a.text == b.text).all() and (a.meta == b.meta).all() and a.cal == b.cal
+
+
+def test_rows_of_byte_strings_in_their_places():
+    rows = np.arange(24, dtype=np.float32).reshape(6, 4)
+    whole = pa.array([x.tobytes() for x in rows], pa.binary())
+    column = pa.chunked_array([whole.slice(1, 2), whole.slice(0, 0), whole.slice(3)])
+    assert (qc._matrix(column, np.float32, np.array([4, 0, 3, 1, 2])) == rows[[2, 4, 5, 3, 1]]).all()
