@@ -1,4 +1,8 @@
-"""Source trees into the graph: full builds, incremental updates, runs and history."""
+"""Source trees into the graph: full builds, incremental updates, runs and history.
+
+What several steps read is written and read back, so that no plan holds the plans of all steps before it: a
+plan's size, and with it what its tasks report to the driver, does not multiply from step to step.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,15 @@ from pyspark.sql import functions as F
 from codeloom.operators import upserts
 from codeloom.operators.attribution import attribute_hunks, map_coverage
 from codeloom.operators.resolve import TsPaths, resolve_calls, resolve_python_imports, resolve_ts_imports
+from codeloom.plans.scratch import keep
 from codeloom.sources.files import extract
 from codeloom.store import Graph
 
 
+def _kept(graph: Graph, *tables: str) -> Graph:
+    return graph.with_tables(**{t: keep(graph.spark, graph[t]) for t in tables})
+
+
 def definitions(rows: DataFrame, project: str) -> DataFrame:
     found = rows.where("record = 'definition'").select(F.lit(project).alias("project"), "qualified_name", "name", "kind", F.col("path").alias("file"), "start_line", "end_line", "decorators", "source", "parent_class")
     # a name that a file defines twice counts once, as it stands last
@@ -31,7 +40,7 @@ def edges_of(rows: DataFrame, symbols: DataFrame, files: DataFrame, project: str
     """Static calls and imports; each language resolves among its own symbols and files."""
     calls, imports = None, None
     for language in ("python", "typescript"):
-        own_files = files.where(F.col("language") == language).select("path")
+        own_files = files.where(F.col("language") == language).select("path").hint("merge")
         own = rows.join(own_files, "path", "left_semi")
         own_symbols = symbols.join(own_files.withColumnRenamed("path", "file"), "file", "left_semi")
         found = resolve_calls(own.where("record = 'call'"), own_symbols)
@@ -44,9 +53,10 @@ def edges_of(rows: DataFrame, symbols: DataFrame, files: DataFrame, project: str
 
 def build(graph: Graph, project: str, files: DataFrame, root: str | None = None, ts: TsPaths | None = None) -> Graph:
     """A full ingest of (path, language, content, content_hash): what has vanished from the sources goes."""
-    rows = extract(files).cache()
-    records = file_records(files, rows, project)
-    defined = definitions(rows, project)
+    spark = graph.spark
+    rows = keep(spark, extract(files))
+    records = keep(spark, file_records(files, rows, project))
+    defined = keep(spark, definitions(rows, project))
     gone_files = graph.within("files", project).join(records, "path", "left_anti")
     graph = upserts.delete_files(graph, gone_files)
     gone = graph.symbols(project).join(defined, "qualified_name", "left_anti")
@@ -54,7 +64,7 @@ def build(graph: Graph, project: str, files: DataFrame, root: str | None = None,
     every = records.select("project", "path")
     graph = upserts.delete_imports_from(upserts.reset_static(graph, every), every)
     graph = upserts.write_project(upserts.write_files(graph, records), project, root)
-    graph = upserts.write_definitions(graph, defined)
+    graph = _kept(upserts.write_definitions(graph, defined), "symbols", "files")
     calls, imports = edges_of(rows, graph.symbols(project), graph.within("files", project), project, ts or TsPaths())
     return upserts.write_calls(upserts.write_imports(graph, imports), calls)
 
@@ -89,20 +99,21 @@ def update(graph: Graph, project: str, files: DataFrame, paths: list[str] | None
     stored = graph.within("files", project)
     if paths is not None:
         files, stored = files.where(F.col("path").isin(paths)), stored.where(F.col("path").isin(paths))
-    changes = detect_changes(stored, files).cache()
+    spark = graph.spark
+    changes = keep(spark, detect_changes(stored, files))
     counts = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
     fresh = files.join(changes.where("change in ('added', 'changed')"), "path", "left_semi")
-    rows = extract(fresh).cache()
-    records = file_records(fresh, rows, project)
+    rows = keep(spark, extract(fresh))
+    records = keep(spark, file_records(fresh, rows, project))
     errors = records.where("parse_error").count()
     named = lambda df: df.select(F.lit(project).alias("project"), "path")
     graph = upserts.delete_files(graph, named(changes.where("change = 'deleted'")))
     sound = named(records.where("not parse_error"))
-    defined = definitions(rows, project)
+    defined = keep(spark, definitions(rows, project))
     old = graph.symbols(project).join(sound.select(F.col("path").alias("file")), "file", "left_semi")
     graph = upserts.delete_symbols(graph, old.join(defined, "qualified_name", "left_anti"))
     graph = upserts.delete_imports_from(upserts.reset_static(upserts.flag_stale(graph, sound), sound), sound)
-    graph = upserts.write_definitions(upserts.write_files(graph, records), defined)
+    graph = _kept(upserts.write_definitions(upserts.write_files(graph, records), defined), "symbols", "files")
     calls, imports = edges_of(rows, graph.symbols(project), graph.within("files", project), project, ts or TsPaths())
     graph = upserts.write_calls(upserts.write_imports(graph, imports), calls)
     counted = (counts.get(k, 0) for k in ("added", "changed", "deleted", "unchanged"))
@@ -118,9 +129,11 @@ def augment(graph: Graph, project: str, calls: DataFrame, tests: DataFrame, line
     """What a test run has shown: calls (caller, callee, observed_count, by test), tests (qualified_name,
     outcome, duration) and covered lines (test, file, line)."""
     named = lambda df: df.withColumn("project", F.lit(project))
-    covers = map_coverage(lines, graph.symbols(project)).cache()
-    summed = merge_runs(calls)
-    graph = upserts.write_tests(graph, named(tests.select("qualified_name", F.col("outcome").alias("test_outcome"), F.col("duration").alias("test_duration"))))
+    spark = graph.spark
+    covers = keep(spark, map_coverage(lines, graph.symbols(project)))
+    summed = keep(spark, merge_runs(calls))
+    tests = keep(spark, tests.select("qualified_name", F.col("outcome").alias("test_outcome"), F.col("duration").alias("test_duration")))
+    graph = _kept(upserts.write_tests(graph, named(tests)), "symbols")
     graph = upserts.write_runtime_calls(graph, named(summed))
     graph = upserts.write_coverage(graph, named(covers).withColumn("seq", F.lit(0)))
     seen = [summed.select(F.col("caller").alias("qualified_name")), summed.select(F.col("callee").alias("qualified_name")), tests.select("qualified_name"), covers.select(F.col("symbol").alias("qualified_name"))]
@@ -132,6 +145,7 @@ def augment(graph: Graph, project: str, calls: DataFrame, tests: DataFrame, line
 
 def add_history(graph: Graph, project: str, commits: DataFrame) -> Graph:
     """Commits (sources.history): authors, commits, and what each changed of files and symbols."""
+    commits = keep(graph.spark, commits)
     ts = F.to_timestamp("timestamp")
     rows = commits.select(F.lit(project).alias("project"), "sha", "short_sha", "message", F.col("timestamp").alias("ts_raw"), ts.alias("ts"), "author_email", "author_name", "files")
     files = rows.select("project", "sha", F.explode("files").alias("f")).select("project", "sha", "f.*")

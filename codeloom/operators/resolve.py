@@ -22,9 +22,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     several the least name; calls of unknown names vanish.
     """
     names = symbols.select(F.col("qualified_name").alias("target"), simple_name(F.col("qualified_name")).alias("simple"), file_of(F.col("qualified_name")).alias("target_file"))
-    # one candidate for each name, and one for each name and file: small, whatever the number of calls
-    anywhere = names.groupBy("simple").agg(F.min("target").alias("anywhere"))
-    nearby = names.groupBy("simple", "target_file").agg(F.min("target").alias("nearby"))
+    # one candidate for each name, and one for each name and file; merged, as they grow with the symbols
+    anywhere = names.groupBy("simple").agg(F.min("target").alias("anywhere")).hint("merge")
+    nearby = names.groupBy("simple", "target_file").agg(F.min("target").alias("nearby")).hint("merge")
     raw = calls.select(F.col("qualified_name").alias("caller"), F.element_at(F.split("callee", r"\."), -1).alias("simple")).where("caller is not null").distinct()
     raw = raw.withColumn("target_file", file_of(F.col("caller")))
     found = raw.join(anywhere, "simple").join(nearby, ["simple", "target_file"], "left")
@@ -33,7 +33,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def resolve_python_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(src, target, target_kind, raw, line): a project file where the module is one, else stdlib or thirdparty."""
-    modules = files.select(module_column(F.col("path")).alias("module"), F.col("path").alias("found")).groupBy("module").agg(F.min("found").alias("found"))
+    modules = files.select(module_column(F.col("path")).alias("module"), F.col("path").alias("found")).groupBy("module").agg(F.min("found").alias("found")).hint("merge")
     top = F.substring_index("module", ".", 1)
     kind = F.when(F.col("found").isNotNull(), "file").when(top.isin(STDLIB), "stdlib").otherwise("thirdparty")
     joined = imports.join(modules, "module", "left")
@@ -87,8 +87,8 @@ def resolve_ts_imports(imports: DataFrame, files: DataFrame, config: TsPaths) ->
     tails = ["", *TS_ENDINGS, *(f"/index{e}" for e in TS_ENDINGS)]
     tries = F.array(*[F.struct(F.lit(k).alias("rank"), F.concat("base", F.lit(tail)).alias("try")) for k, tail in enumerate(tails)])
     wanted = rows.select("base").where("base is not null").distinct().select("base", F.explode(tries).alias("t")).select("base", "t.rank", F.col("t.try").alias("try"))
-    known = files.select(F.col("path").alias("try"))
-    best = wanted.join(known, "try").groupBy("base").agg(F.min_by("try", "rank").alias("found"))
+    known = files.select(F.col("path").alias("try")).hint("merge")
+    best = wanted.join(known, "try").groupBy("base").agg(F.min_by("try", "rank").alias("found")).hint("merge")
     joined = rows.join(best, "base", "left")
     kind = F.when(F.col("found").isNotNull(), "file").otherwise("thirdparty")
     return joined.select(F.col("path").alias("src"), F.coalesce("found", "module").alias("target"), kind.alias("target_kind"), "raw", "line")

@@ -1,6 +1,7 @@
 """Writes as frames: full-outer upserts by key, and deletes as anti-joins.
 
-Each returns a new graph; nothing is changed in place, and a store's ``commit`` makes it lasting.
+Each returns a new graph; nothing is changed in place, and a store's ``commit`` makes it lasting.  Only the keys
+that a delete takes away are written to the shared folder, as every table is joined with them.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import coverage_pct
+from codeloom.plans.scratch import keep
 from codeloom.schema import KEYS, TABLES, conform
 from codeloom.store import Graph
 
@@ -38,7 +40,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...], keep: tuple[st
 
 
 def _ends_exist(graph: Graph, edges: DataFrame, *ends: str) -> DataFrame:
-    known = graph["symbols"].select("project", "qualified_name")
+    # all symbols: merged, so that the driver does not gather them for a broadcast
+    known = graph["symbols"].select("project", "qualified_name").hint("merge")
     for end in ends:
         edges = edges.join(known.withColumnRenamed("qualified_name", end), ["project", end], "left_semi")
     return edges
@@ -61,7 +64,7 @@ def write_definitions(graph: Graph, symbols: DataFrame) -> Graph:
     """Definitions; what runs have shown of a symbol stays, and so does its being a test."""
     new = conform(symbols, "symbols").withColumn("contained", F.lit(True)).withColumn("is_test", F.coalesce("is_test", F.lit(False)))
     classes = new.where("kind = 'class'").select("project", F.col("qualified_name").alias("parent_class"))
-    known = graph["symbols"].where("kind = 'class'").select("project", F.col("qualified_name").alias("parent_class")).unionByName(classes).distinct()
+    known = graph["symbols"].where("kind = 'class'").select("project", F.col("qualified_name").alias("parent_class")).unionByName(classes).distinct().hint("merge")
     methods = new.where("kind = 'method'").join(known, ["project", "parent_class"], "left_semi")
     new = new.where("kind <> 'method'").unionByName(methods)
     merged = upsert(graph["symbols"], conform(new, "symbols"), KEYS["symbols"], keep=(*RUNTIME, "is_test"))
@@ -109,7 +112,7 @@ def write_imports(graph: Graph, imports: DataFrame) -> Graph:
 
 
 def write_history(graph: Graph, commits: DataFrame, authors: DataFrame, file_changes: DataFrame, symbol_changes: DataFrame) -> Graph:
-    known = graph["files"].select("project", "path")
+    known = graph["files"].select("project", "path").hint("merge")
     file_changes = conform(file_changes, "file_changes").join(known, ["project", "path"], "left_semi")
     return graph.with_tables(
         commits=upsert(graph["commits"], conform(commits, "commits"), KEYS["commits"]),
@@ -121,7 +124,8 @@ def write_history(graph: Graph, commits: DataFrame, authors: DataFrame, file_cha
 
 def delete_symbols(graph: Graph, gone: DataFrame) -> Graph:
     """Symbols (project, qualified_name), and every edge at either of its ends."""
-    gone = gone.select("project", "qualified_name").distinct()
+    # eight joins read it
+    gone = keep(graph.spark, gone.select("project", "qualified_name").distinct())
 
     def without(table: str, *ends: str) -> DataFrame:
         df = graph[table]
@@ -153,7 +157,7 @@ def delete_imports_from(graph: Graph, paths: DataFrame) -> Graph:
 
 def delete_files(graph: Graph, paths: DataFrame) -> Graph:
     """Files (project, path) with their symbols, imports in and out, and changes."""
-    paths = paths.select("project", "path").distinct()
+    paths = keep(graph.spark, paths.select("project", "path").distinct())
     symbols = graph["symbols"].where("contained").join(paths.withColumnRenamed("path", "file"), ["project", "file"], "left_semi")
     graph = delete_symbols(graph, symbols)
     into = paths.select("project", F.col("path").alias("target"), F.lit("file").alias("target_kind"))

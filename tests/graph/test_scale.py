@@ -6,7 +6,12 @@ import random
 
 import pytest
 
-from codeloom.operators import attribution
+from codeloom.operators import attribution, ingest
+from codeloom.plans import paths
+from codeloom.plans.scc import strongly_connected
+from codeloom.store import Graph
+from tests.graph import sample
+from tests.graph.test_engine import contents
 
 SYMBOLS = "qualified_name string, kind string, file string, start_line int, end_line int"
 
@@ -48,3 +53,28 @@ def test_symbols_at_the_same_lines_are_met_once(spark, monkeypatch, broadcast):
     for df in (covered, touched):
         above = optimized(df).split("Generate explode(names")[0]
         assert "Join" not in above and "Aggregate" not in above and "Repartition" not in above and above != optimized(df)
+
+
+def test_plans_do_not_multiply_from_step_to_step(spark):
+    """What several steps read is stored, so no plan holds the extraction, or the symbols' plan for each end of a call."""
+    project = "demo"
+    graph = ingest.build(Graph.of(spark), project, contents(spark, sample.PYTHON), "/src")
+    later, summary = ingest.update(graph, project, contents(spark, sample.PYTHON | {"runner.py": sample.PYTHON["runner.py"] + "\ndef more():\n    main()\n"}))
+    assert (summary.changed, summary.unchanged) == (1, 2)
+    assert {r["qualified_name"] for r in later["symbols"].collect()} - {r["qualified_name"] for r in graph["symbols"].collect()} == {"runner.py::more"}
+    for name in ("symbols", "calls", "imports", "files"):
+        plan = optimized(later[name])
+        assert "MapInPandas" not in plan
+        assert plan.count("\n") < 400
+
+
+def test_ways_cost_what_lies_above_their_seeds(spark, monkeypatch):
+    """The search for circles sees the edges that a way can take, not the whole graph."""
+    edges = [("b", "a"), ("c", "b"), ("b", "c"), ("d", "c"), ("e", "d"), ("f", "e"), ("a", "z")] + [(f"x{k}", f"x{k // 2}") for k in range(1, 400)]
+    seen = []
+    monkeypatch.setattr(paths, "strongly_connected", lambda spark, e: seen.append({tuple(r) for r in e.collect()}) or strongly_connected(spark, e))
+    calls = spark.createDataFrame([(u, v, True, False) for u, v in edges], "caller string, callee string, static boolean, runtime boolean")
+    found = paths.upstream_paths(calls, spark.createDataFrame([("a",)], "via string"), 4)
+    assert seen == [{("b", "a"), ("c", "b"), ("b", "c"), ("d", "c"), ("e", "d")}]
+    want = [("b", 1), ("c", 2), ("b", 3), ("d", 3), ("e", 4)]
+    assert sorted((r["node"], r["depth"]) for r in found.collect()) == sorted(want)
