@@ -14,6 +14,24 @@ from codeloom.plans.scc import strongly_connected
 from codeloom.plans.scratch import keep
 
 
+def _within(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """The edges that ways of at most ``depth`` calls to a seed (via) can take, so the cost follows what lies above the seeds.
+
+    A way that comes to an edge again has gone around a circle of such edges, so they also tell which edges those are.
+    """
+    spark = edges.sparkSession
+    # read by every level
+    edges = keep(spark, edges)
+    front = seen = keep(spark, seeds.select(F.col("via").alias("callee")).distinct())
+    for _ in range(depth - 1):
+        found = edges.join(front, "callee", "left_semi").select(F.col("caller").alias("callee")).distinct()
+        front = keep(spark, found.join(seen, "callee", "left_anti"))
+        if not front.head(1):
+            break
+        seen = seen.unionByName(front)
+    return keep(spark, edges.join(seen, "callee", "left_semi"))
+
+
 def _steps(edges: DataFrame, depth: int) -> DataFrame:
     """caller, at (callee), flags, and ``edge``: the name of an edge that a path can take twice, else null.
 
@@ -41,7 +59,7 @@ def upstream_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     Paths of a length that have the same end, flags and edges that could come again are one from there on, so
     where calls make no circles, the rows of a level are at most nodes times seeds times kinds of flags.
     """
-    steps = _steps(edges, depth)
+    steps = _steps(_within(edges, seeds, depth) if depth > 2 else edges, depth)
     front = seeds.select("via", F.col("via").alias("at"), F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<static:boolean,runtime:boolean>>").alias("edges"))
     levels = []
     for k in range(1, depth + 1):
