@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import PROVENANCE, SYMBOL_REF, callable_kind, provenance_is
+from codeloom.plans.dealing import dealt
 from codeloom.store import Graph
 
+#: Symbols whose calls a task joins on average.
+SYMBOLS_IN_A_TASK = 10_000
+
 
 def _ref(symbols: DataFrame, prefix: str = "") -> DataFrame:
     return symbols.select(*[F.col(c).alias(f"{prefix}{c}") for c in SYMBOL_REF])
@@ -60,8 +64,10 @@ def _one_sided(graph: Graph, project: str, wanted: str, other: str, file: str |
     calls = graph.within("calls", project).where(only).select("caller", "callee", F.coalesce("observed_count", F.lit(0)).alias("observed_count"))
     # a callee may be known by a run only: any symbol of the project will do
     callees = _ref(graph.within("symbols", project), "callee_")
-    out = calls.join(_ref(callers, "caller_"), F.col("caller") == F.col("caller_qualified_name"))
-    out = out.join(callees, F.col("callee") == F.col("callee_qualified_name")).drop("caller", "callee")
+    # all symbols on both sides: merged, so that the driver does not gather them for a broadcast
+    n = graph["symbols"].count()
+    out = dealt(calls, n, SYMBOLS_IN_A_TASK, "caller").join(_ref(callers, "caller_").hint("merge"), F.col("caller") == F.col("caller_qualified_name"))
+    out = dealt(out, n, SYMBOLS_IN_A_TASK, "callee").join(callees.hint("merge"), F.col("callee") == F.col("callee_qualified_name")).drop("caller", "callee")
     return out.orderBy("caller_qualified_name", "callee_qualified_name").limit(limit)
 
 

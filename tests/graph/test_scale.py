@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
-from codeloom.operators import attribution, ingest
-from codeloom.plans import paths
+from codeloom.operators import attribution, ingest, navigation
+from codeloom.plans import paths, projection
+from codeloom.plans.catalogue import QUERIES
 from codeloom.plans.scc import strongly_connected
 from codeloom.store import Graph
 from tests.graph import sample
 from tests.graph.test_engine import contents
 
+SF = "/root/testdata/sf0.001"
 SYMBOLS = "qualified_name string, kind string, file string, start_line int, end_line int"
 
 
@@ -78,3 +81,24 @@ def test_ways_cost_what_lies_above_their_seeds(spark, monkeypatch):
     assert seen == [{("b", "a"), ("c", "b"), ("b", "c"), ("d", "c"), ("e", "d")}]
     want = [("b", 1), ("c", 2), ("b", 3), ("d", 3), ("e", 4)]
     assert sorted((r["node"], r["depth"]) for r in found.collect()) == sorted(want)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(projection, "ROWS_IN_A_TASK", 500)
+    rows = projection.read(spark, SF, "lineitem").count()
+    for df in (projection.steps(spark, SF), projection.calls(spark, SF), QUERIES["runtime_merge"](spark, SF)):
+        found = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", optimized(df))]
+        assert found and set(found) == {-(-rows // 500)}
+        # what is dealt by u and v is grouped where it lies
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("Exchange hashpartitioning") == len(found)
+
+
+@pytest.mark.parametrize("name", ["dead_static_calls", "runtime_only_calls"])
+def test_one_sided_calls_gather_no_symbols(spark, monkeypatch, name):
+    monkeypatch.setattr(navigation, "SYMBOLS_IN_A_TASK", 10)
+    df = QUERIES[name](spark, SF)
+    symbols = projection.read(spark, SF, "part").count()
+    found = re.findall(r"RepartitionByExpression \[(call\w+)#.*\], (\d+)", optimized(df))
+    assert sorted(found) == [("callee", str(symbols // 10)), ("caller", str(symbols // 10))]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
