@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.columns import KINDS, PROVENANCE, callable_kind, clamp, matches_glob, provenance_is
 from codeloom.plans.scc import strongly_connected
+from codeloom.plans.scratch import keep
 from codeloom.store import Graph
 
 MOST_ROWS = 100
@@ -28,7 +29,8 @@ def cycle_edges(graph: Graph, project: str, scope: str, provenance: str) -> Data
 
 def cycles(graph: Graph, project: str, scope: str = "call", provenance: str = "any", min_size: int = 2) -> DataFrame:
     """Strongly connected components: ``size`` and sorted ``nodes``; a single node needs a loop."""
-    edges = cycle_edges(graph, project, scope, provenance)
+    # read for their number, the components and the loops
+    edges = keep(graph.spark, cycle_edges(graph, project, scope, provenance))
     members = strongly_connected(graph.spark, edges)
     loops = edges.where("u = v").select(F.col("u").alias("node"), F.lit(True).alias("loop"))
     parts = members.join(loops, "node", "left").groupBy("component").agg(F.count("*").cast("int").alias("size"), F.sort_array(F.collect_list("node")).alias("nodes"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("loop"))

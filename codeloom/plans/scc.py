@@ -75,16 +75,27 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
 
 
 def _reached(spark: SparkSession, seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, color) reached from the seeds along edges (u, v) within nodes of one color (given by ``edges.color``)."""
-    reached = keep(spark, seeds)
-    front = reached
+    """``node``: the seeds and what is reached from them along edges (u, v); each node's edges are read once."""
+    front = reached = keep(spark, seeds)
     while front.head(1):
-        step = front.join(edges, (F.col("node") == F.col("u")) & (front["color"] == edges["color"])).select(F.col("v").alias("node"), edges["color"])
-        front = keep(spark, step.distinct().join(reached, ["node", "color"], "left_anti"))
-        reached = keep(spark, reached.unionByName(front))
+        step = front.join(edges, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
+        front = keep(spark, step.join(reached, "node", "left_anti"))
+        reached = reached.unionByName(front)
     return reached
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """``node`` and whether edges other than a loop lead ``out`` of it and ``in``; one pass over the edges."""
+    other = F.col("u") != F.col("v")
+    ends = F.array(F.struct(F.col("u").alias("node"), other.alias("out"), F.lit(False).alias("in")), F.struct(F.col("v").alias("node"), F.lit(False).alias("out"), other.alias("in")))
+    return edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.bool_or("e.out").alias("out"), F.bool_or("e.in").alias("in"))
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges neither of whose ends is one of the nodes."""
+    return edges.join(nodes.select(F.col("node").alias("u")), "u", "left_anti").join(nodes.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v")
+
+
 def spread(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Components by colours; for edge sets of any size."""
     edges = keep(spark, edges.select("u", "v"))
@@ -92,34 +103,41 @@ def spread(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while True:
         # nodes that lack an edge in or out are components of their own
         while True:
-            nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-            inner = edges.where("u <> v")
-            core = inner.select(F.col("u").alias("node")).distinct().join(inner.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
-            alone = keep(spark, nodes.join(core, "node", "left_anti"))
+            nodes = keep(spark, _ends(edges))
+            alone = nodes.where("not (out and in)").select("node")
             if not alone.head(1):
                 break
             done.append(alone.select("node", F.col("node").alias("component")))
-            core = keep(spark, nodes.join(alone, "node", "left_anti"))
-            edges = keep(spark, edges.join(core.withColumnRenamed("node", "u"), "u", "left_semi").join(core.withColumnRenamed("node", "v"), "v", "left_semi"))
-        if not edges.head(1):
+            # a node that loses its last edge is left out of the edges, so it ends here
+            left = keep(spark, _without(edges, alone))
+            inner = nodes.where("out and in").select("node")
+            lost = keep(spark, inner.join(_ends(left).select("node"), "node", "left_anti"))
+            done.append(lost.select("node", F.col("node").alias("component")))
+            edges = left
+        if not nodes.head(1):
             break
-        color = keep(spark, nodes.select("node", F.col("node").alias("color")))
+        # as many rows as nodes: merged, so that the driver does not gather them in each round for a broadcast
+        color = nodes.select("node", F.col("node").alias("color"))
+        fell = color
         while True:
-            offered = edges.join(color.select(F.col("node").alias("u"), "color"), "u").groupBy(F.col("v").alias("node")).agg(F.min("color").alias("offer"))
-            new = keep(spark, color.join(offered, "node", "left").select("node", F.least("color", F.coalesce("offer", "color")).alias("color"), (F.col("offer") < F.col("color")).alias("fell")))
-            color = new.select("node", "color")
-            if not new.where("fell").head(1):
+            # only a color that fell in the last round has something new to offer
+            offered = edges.join(fell.select(F.col("node").alias("u"), "color").hint("merge"), "u").groupBy(F.col("v").alias("node")).agg(F.min("color").alias("offer"))
+            new = keep(spark, color.join(offered, "node", "left").select("node", F.least("color", F.coalesce("offer", "color")).alias("color"), F.coalesce(F.col("offer") < F.col("color"), F.lit(False)).alias("fell")))
+            color, fell = new.select("node", "color"), new.where("fell").select("node", "color")
+            if not fell.head(1):
                 break
-        named = edges.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")), "v")
-        backward = keep(spark, named.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("cu").alias("color")))
-        part = _reached(spark, color.where("node = color"), backward)
-        done.append(part.select("node", F.col("color").alias("component")))
+        named = edges.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")).hint("merge"), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")).hint("merge"), "v")
+        # a node has one color, so within these edges a root reaches nodes of its own color only
+        backward = keep(spark, named.where("cu = cv and u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        part = _reached(spark, color.where("node = color").select("node"), backward)
+        part = keep(spark, color.join(part, "node", "left_semi").select("node", F.col("color").alias("component")))
+        done.append(part)
         left = keep(spark, color.select("node").join(part.select("node"), "node", "left_anti"))
-        edges = keep(spark, edges.join(left.withColumnRenamed("node", "u"), "u", "left_semi").join(left.withColumnRenamed("node", "v"), "v", "left_semi"))
-        if left.head(1):
-            # nodes that have lost all their edges
-            linked = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-            done.append(keep(spark, left.join(linked, "node", "left_anti")).select("node", F.col("node").alias("component")))
+        if not left.head(1):
+            break
+        edges = keep(spark, _without(edges, part))
+        # nodes that have lost all their edges
+        done.append(keep(spark, left.join(_ends(edges).select("node"), "node", "left_anti")).select("node", F.col("node").alias("component")))
     out = done[0] if done else edges.select(F.col("u").alias("node"), F.col("u").alias("component")).limit(0)
     for more in done[1:]:
         out = out.unionByName(more)

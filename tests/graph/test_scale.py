@@ -8,9 +8,9 @@ import re
 import pytest
 
 from codeloom.operators import attribution, ingest, navigation
-from codeloom.plans import paths, projection
+from codeloom.plans import paths, projection, scc
 from codeloom.plans.catalogue import QUERIES
-from codeloom.plans.scc import strongly_connected
+from codeloom.plans.scc import components_of, strongly_connected
 from codeloom.store import Graph
 from tests.graph import sample
 from tests.graph.test_engine import contents
@@ -102,3 +102,11 @@ def test_one_sided_calls_gather_no_symbols(spark, monkeypatch, name):
     found = re.findall(r"RepartitionByExpression \[(call\w+)#.*\], (\d+)", optimized(df))
     assert sorted(found) == [("callee", str(symbols // 10)), ("caller", str(symbols // 10))]
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_by_spreading_against_the_search(spark):
+    rng = random.Random(8)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)} | {(100, 101), (101, 102), (200, 200), (201, 200), (200, 202)}
+    got = {r["node"]: r["component"] for r in scc.spread(spark, spark.createDataFrame(sorted(edges), "u long, v long")).collect()}
+    # 101 loses both its edges when the ends of its chain go
+    assert got == components_of(sorted(edges))
